@@ -6,52 +6,57 @@ from pyspark.sql import Column, functions as F, types as T
 
 from gridscope.functions.clean import kind_of, quoted
 
-# A text shape and the formats tried for it, month before day.
+# Texts that cannot be dates are told apart cheaply by these two shapes.
+MAYBE_DATE = r"^[0-9A-Za-z][-0-9A-Za-z/., :+]{4,39}$"
 ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
-FORMATS_BY_SHAPE = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", ["M-d-yy", "d-M-yy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", ["M.d.yy", "d.M.yy"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ["yyyy.M.d"]),
-    (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^[A-Za-z]{3} \d{1,2}, ?\d{4}$", ["MMM d,[ ]yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{1,2}, ?\d{4}$", ["MMMM d,[ ]yyyy"]),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", ["MMM d yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", ["MMMM d yyyy"]),
-    (r"^\d{1,2}[- ][A-Za-z]{3}[- ]\d{4}$", ["d[-][ ]MMM[-][ ]yyyy"]),
-    (r"^\d{1,2}[- ][A-Za-z]{4,9}[- ]\d{4}$", ["d[-][ ]MMMM[-][ ]yyyy"]),
-    (r"^\d{1,2}[- ][A-Za-z]{3}[- ]\d{2}$", ["d[-][ ]MMM[-][ ]yy"]),
-    (r"^[A-Za-z]{3} \d{4}$", ["MMM yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{4}$", ["MMMM yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ["M/d/yyyy H:mm", "d/M/yyyy H:mm"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ["M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", ["M/d/yyyy h:mm a"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", ["M/d/yyyy h:mm:ss a"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", ["yyyy/M/d H:mm:ss"]),
+# Rewrites of a text whose separators are single spaces. Years get four
+# digits (69 to 99 are 19xx, 00 to 68 are 20xx); a day that cannot be a month moves back.
+REWRITES = [
+    (r"^(\d{1,2} \d{1,2}|\d{1,2} [A-Za-z]{3,9}) (69|[7-9]\d)(?=$| \d{1,2}:)", "$1 19$2"),
+    (r"^(\d{1,2} \d{1,2}|\d{1,2} [A-Za-z]{3,9}) ([0-6]\d)(?=$| \d{1,2}:)", "$1 20$2"),
+    (r"^(1[3-9]|[23]\d) (\d{1,2}) (\d{4})", "$2 $1 $3"),
 ]
-LAST_TWO_DIGIT_YEAR = 2068  # 68 is 2068, 69 is 1969
+# The rewritten shapes and their formats.
+_TIME = r"( \d{1,2}:.*)?$"
+_CLOCK = "[ h:mm[:ss] a][ H:mm[:ss[ SSS]]]"
+_MONTH = "[MMMM][MMM]"
+NUMERIC_SHAPES = [
+    (r"^\d{1,2} \d{1,2} \d{4}" + _TIME, "M d yyyy" + _CLOCK),
+    (r"^\d{4} \d{1,2} \d{1,2}" + _TIME, "yyyy M d" + _CLOCK),
+    (r"^\d{8}$", "yyyyMMdd"),
+]
+NAMED_SHAPES = [
+    (r"^[A-Za-z]{3,9} \d{1,2} \d{4}" + _TIME, _MONTH + " d yyyy" + _CLOCK),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}" + _TIME, "d " + _MONTH + " yyyy" + _CLOCK),
+    (r"^[A-Za-z]{3,9} \d{4}$", _MONTH + " yyyy"),
+]
+
+
+def _by_shape(text: Column, shapes: list[tuple[str, str]]) -> Column:
+    parsed = F
+    for shape, form in shapes:
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)))
+    return parsed
 
 
 def date_from_text(cell: Column) -> Column:
     """Timestamp of a text in any of the known formats, chosen per value, else NULL.
 
-    The shape test picks at most two parses per value. Numbers such as ``1200`` and
-    time-only texts are not dates. Offsets are converted to the session time zone.
+    Shape tests pick one parse per value. Numbers such as ``1200`` and time-only texts are
+    not dates. Offsets are converted to the session time zone.
     """
     text = F.trim(cell)
-    parsed = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
-    for shape, formats in FORMATS_BY_SHAPE:
-        attempts = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-        if any(f.count("y") == 2 for f in formats):
-            attempts = F.when(
-                F.year(attempts) > LAST_TWO_DIGIT_YEAR, attempts - F.expr("INTERVAL '100' YEAR")
-            ).otherwise(attempts)
-        parsed = parsed.when(text.rlike(shape), attempts)
-    return parsed
+    spaced = F.regexp_replace(text, "[-/., ]+", " ")
+    for pattern, rewritten in REWRITES:
+        spaced = F.regexp_replace(spaced, pattern, rewritten)
+    iso = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
+    # a one-element array binds the rewritten text, so that it is computed once per value
+    bound = F.array(spaced)
+    other = F.when(
+        text.rlike("[A-Za-z]{3}"), F.transform(bound, lambda t: _by_shape(t, NAMED_SHAPES))[0]
+    ).otherwise(F.transform(bound, lambda t: _by_shape(t, NUMERIC_SHAPES))[0])
+    possible = F.length(cell).between(5, 50) & text.rlike(MAYBE_DATE) & text.rlike("[0-9]")
+    return F.when(possible, F.when(text.rlike(r"^\d{4}-"), iso).otherwise(other))
 
 
 def date_of(name: str, dtype: T.DataType) -> Column:

@@ -12,9 +12,7 @@ a handful of aggregates over pruned scans, whatever the number of columns:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
-from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -321,7 +319,8 @@ def measure_stats(
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = measures_long(df, {c: number_of(c, types[c]) for c in columns})
-    found = robust.trimmed_stats(rows, ["measure"], group_limit).withColumn("anchor", robust.zero_anchor())
+    known = (len(columns), max(basics[c]["n_num"] for c in columns))
+    found = robust.trimmed_stats(rows, ["measure"], group_limit, known).withColumn("anchor", robust.zero_anchor())
     out = {}
     for r in found.collect():
         c = r["measure"]
@@ -352,11 +351,3 @@ def column_samples(df: DataFrame, n: int = 5) -> DataFrame:
     for part in parts[1:]:
         merged = merged.unionByName(part)
     return merged
-
-
-def day(text: str) -> date:
-    return date.fromisoformat(text)
-
-
-def ratio(part: int, whole: int) -> float:
-    return part / whole if whole else math.nan

@@ -36,10 +36,17 @@ def exact_quantiles(
     probs: Sequence[float],
     value: str = "value",
     group_limit: int | None = None,
+    known: tuple[int, int] | None = None,
 ) -> Quantiles:
-    """Quantiles of non-null ``value`` per group of the non-null keys ``by``."""
+    """Quantiles of non-null ``value`` per group of the non-null keys ``by``.
+
+    ``known`` is ``(number of groups, rows of the largest)`` where the caller has counted
+    them already; otherwise one aggregate finds out.
+    """
     limit = GROUP_LIMIT if group_limit is None else group_limit
     by = list(by)
+    if known is not None and known[1] <= limit:
+        return Quantiles(_buffered(rows, by, probs, value), known[0])
     sizes = rows.groupBy(*by).agg(
         F.count(value).alias("n"), F.min(value).alias("v_min"), F.max(value).alias("v_max")
     )

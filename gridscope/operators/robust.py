@@ -17,9 +17,11 @@ TRIM = 3.0  # fences for trimming
 FLAG = 1.5  # fences for reporting outliers
 
 
-def spread(rows: DataFrame, by: Sequence[str], group_limit: int | None = None) -> Quantiles:
+def spread(
+    rows: DataFrame, by: Sequence[str], group_limit: int | None = None, known: tuple[int, int] | None = None
+) -> Quantiles:
     """``by..., n, v_min, v_max, q1, q2, q3`` per group."""
-    found = exact_quantiles(rows, by, [0.25, 0.5, 0.75], group_limit=group_limit)
+    found = exact_quantiles(rows, by, [0.25, 0.5, 0.75], group_limit=group_limit, known=known)
     frame = found.frame.select(
         *by, "n", "v_min", "v_max",
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"),
@@ -53,9 +55,11 @@ def zero_anchor() -> Column:
     return (width <= 0) | (low <= 0) | (low / width <= 2.0)
 
 
-def trimmed_stats(rows: DataFrame, by: Sequence[str], group_limit: int | None = None) -> DataFrame:
+def trimmed_stats(
+    rows: DataFrame, by: Sequence[str], group_limit: int | None = None, known: tuple[int, int] | None = None
+) -> DataFrame:
     """Per group: the spread plus ``total``, ``mean``, ``trimmed_mean``, ``n_extreme``."""
-    found = spread(rows, by, group_limit)
+    found = spread(rows, by, group_limit, known)
     joined = attach(rows, found.frame, by, found.groups, "value")
     stats = ["n", "v_min", "v_max", "q1", "q2", "q3"]
     return (
