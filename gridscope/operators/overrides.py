@@ -91,12 +91,11 @@ def apply_overrides(
             )
         elif c in bad_measures:
             info.update(type="categorical", top_values=tops[c], correction_note=(
-                f"'{c}' doesn't contain enough numeric values to treat as a measure. "
-                "Showing it as a category instead."
+                f"No value of '{c}' could be read as a number, so it is kept as a category."
             ))
         elif c in bad_dates:
             info.update(type="categorical", top_values=tops[c], correction_note=(
-                f"'{c}' doesn't contain parseable dates. Showing it as a category instead."
+                f"No value of '{c}' could be read as a date, so it is kept as a category."
             ))
         elif wanted[c] == "date":
             info.update(min_date=str(found_dates[c]["min_date"]), max_date=str(found_dates[c]["max_date"]))
