@@ -63,7 +63,7 @@ def _refuse_binary(spark: SparkSession, path: str) -> None:
         raise TableError("Export the sheet to CSV or Parquet first.", "CORRUPTED_FILE")
 
 
-def _scan(spark: SparkSession, paths: list[str], n_columns: int | None, multi_line: bool) -> DataFrame:
+def _scan(spark: SparkSession, path: str, n_columns: int | None, multi_line: bool) -> DataFrame:
     reader = (
         spark.read.option("header", False).option("escape", '"').option("mode", "PERMISSIVE")
         .option("multiLine", multi_line).option("maxColumns", 200_000)
@@ -72,7 +72,7 @@ def _scan(spark: SparkSession, paths: list[str], n_columns: int | None, multi_li
         fields = [T.StructField(f"c{i}", T.StringType()) for i in range(n_columns)]
         schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
         reader = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
-    return reader.csv(paths)
+    return reader.csv(path)
 
 
 def detect_header_row(rows: list[tuple]) -> int:
@@ -82,14 +82,13 @@ def detect_header_row(rows: list[tuple]) -> int:
 
 
 def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    paths = _files_of(spark, path)
-    first, rest = paths[0], paths[1:]
-    width = len(_scan(spark, [first], None, multi_line).columns)
+    first, n_files = _first_file(spark, path)
+    width = len(_scan(spark, first, None, multi_line).columns)
     if width <= 1:
         raise TableError("No delimited columns were found.", "NO_TABULAR_DATA")
 
     cells = [f"c{i}" for i in range(width)]
-    head = _scan(spark, [first], width, multi_line)
+    head = _scan(spark, first, width, multi_line)
     # rows of one file are numbered from 0 in its first block, where the header is
     numbered = head.withColumn("_row", F.monotonically_increasing_id())
     top = numbered.where(F.col("_row") < SCAN_ROWS).select(*[null_tokens(F.col(c)) for c in cells]).collect()
@@ -98,8 +97,8 @@ def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFra
     header_row = detect_header_row(top)
     header = list(top[header_row])
     data = numbered.where(F.col("_row") > header_row).drop("_row")
-    if rest:
-        others = _scan(spark, rest, width, multi_line)
+    if n_files > 1:
+        others = _scan(spark, path, width, multi_line).where(F.col("_metadata.file_path") != first)
         repeated = F.lit(True)
         for c, name in zip(cells, header):
             repeated = repeated & null_tokens(F.col(c)).eqNullSafe(F.lit(name))
@@ -111,15 +110,17 @@ def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFra
     return data.select(*[null_tokens(F.col(f"c{i}")).alias(name) for i, name in zip(kept, names)])
 
 
-def _files_of(spark: SparkSession, path: str) -> list[str]:
-    """Files below ``path`` in name order, as the data source lists them."""
+def _first_file(spark: SparkSession, path: str) -> tuple[str, int]:
+    """The first non-empty file below ``path`` in name order, and how many there are."""
     try:
-        files = sorted(spark.read.text(path).inputFiles())
+        # only the file listing is read, no content
+        files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+        found = files.agg(F.min("_metadata.file_path").alias("first"), F.count("*").alias("n")).first()
     except Exception as error:
         raise TableError(f"Could not read {path}: {error}", "PARSE_ERROR") from error
-    if not files:
+    if not found["n"]:
         raise TableError("The table has no rows.", "EMPTY_DATASET")
-    return files
+    return found["first"], found["n"]
 
 
 def _shape_check(data: DataFrame, cells: list[str]) -> dict[str, int]:
