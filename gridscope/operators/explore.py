@@ -28,7 +28,8 @@ def correlation_fit(df: DataFrame, x: str, y: str, x_label: str | None = None, y
     """
     stats = _pairs(df, x, y).agg(
         F.count("*").alias("n"),
-        F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("slope"),
+        # corr itself divides by zero when a side does not vary
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"), F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.min("x").alias("x_min"), F.max("x").alias("x_max"),
         F.min("y").alias("y_min"), F.max("y").alias("y_max"),

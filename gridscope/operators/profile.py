@@ -18,8 +18,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridscope.functions import names
-from gridscope.functions.clean import kind_of, number_of, quoted, value_of
-from gridscope.functions.dates import date_of
+from gridscope.functions.clean import kind_of, number_from_text, number_of, quoted, value_of
+from gridscope.functions.dates import date_from_text, date_of
 from gridscope.operators import robust
 from gridscope.operators.keys import measures_long, narrow_text
 
@@ -194,43 +194,70 @@ def batches(columns: Iterable[str]) -> Iterable[list[str]]:
 
 
 def first_pass(df: DataFrame, columns: list[str]) -> dict[str, dict[str, Any]]:
-    """Row count (under ``""``) and, per column, ``n``, ``n_num``, ``sum``, ``min``, ``max``."""
+    """Row count (under ``""``) and, per column, ``n``, ``n_num``, ``sum``, ``min``, ``max``.
+
+    Typed columns are aggregated side by side. Text cells are stacked first, so that the
+    parsing expression appears once in the plan, however many columns there are.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
+    texts = [c for c in columns if kind_of(types[c]) == "text"]
+    typed = [c for c in columns if c not in set(texts)]
     out: dict[str, dict[str, Any]] = {}
-    for batch in batches(columns) if columns else [[]]:
+    for batch in batches(typed) if typed or not texts else []:
         inputs, aggs = [], [F.count("*").alias("n_rows")]
         for i, c in enumerate(batch):
             inputs.append(value_of(c, types[c]).alias(f"v{i}"))
             aggs.append(F.count(f"v{i}").alias(f"n{i}"))
-            if kind_of(types[c]) in ("number", "text"):
+            if kind_of(types[c]) == "number":
                 inputs.append(number_of(c, types[c]).alias(f"x{i}"))
-                aggs += [
-                    F.count(f"x{i}").alias(f"k{i}"), F.sum(f"x{i}").alias(f"s{i}"),
-                    F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"),
-                ]
+                aggs += [F.sum(f"x{i}").alias(f"s{i}"), F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}")]
         row = df.select(*inputs).agg(*aggs).first().asDict()
         out[""] = {"n_rows": row["n_rows"]}
         for i, c in enumerate(batch):
             out[c] = {
-                "n": row[f"n{i}"], "n_num": row.get(f"k{i}", 0), "sum": row.get(f"s{i}"),
-                "min": row.get(f"lo{i}"), "max": row.get(f"hi{i}"),
+                "n": row[f"n{i}"], "n_num": row[f"n{i}"] if f"s{i}" in row else 0,
+                "sum": row.get(f"s{i}"), "min": row.get(f"lo{i}"), "max": row.get(f"hi{i}"),
             }
+    if texts:
+        cells = {c: F.col(quoted(c)) for c in texts}
+        # one more cell per row counts the rows
+        stacked = measures_long(df, cells if typed else {"": F.lit("1"), **cells})
+        sized = [c for c in texts if names.names_size(c)]
+        number = number_from_text(F.col("value"))
+        if sized:
+            plain = number_from_text(F.col("value"), shorthand=False)
+            number = F.when(F.col("measure").isin(sized), plain).otherwise(number)
+        found = stacked.select("measure", number.alias("x")).groupBy("measure").agg(
+            F.count("*").alias("n"), F.count("x").alias("n_num"), F.sum("x").alias("sum"),
+            F.min("x").alias("min"), F.max("x").alias("max"),
+        )
+        rows = {r["measure"]: r.asDict() for r in found.collect()}
+        if not typed:
+            out[""] = {"n_rows": rows.pop("", {"n": 0})["n"]}
+        nothing = {"n": 0, "n_num": 0, "sum": None, "min": None, "max": None}
+        out.update({c: rows.get(c, nothing) for c in texts})
     return out
 
 
 def date_pass(df: DataFrame, columns: list[str]) -> dict[str, dict[str, Any]]:
     """Per column: number of values that are dates, first and last day."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    out = {}
-    for batch in batches(columns):
-        inputs, aggs = [], []
-        for i, c in enumerate(batch):
-            inputs.append(F.to_date(date_of(c, types[c])).alias(f"d{i}"))
-            aggs += [F.count(f"d{i}").alias(f"n{i}"), F.min(f"d{i}").alias(f"lo{i}"), F.max(f"d{i}").alias(f"hi{i}")]
-        row = df.select(*inputs).agg(*aggs).first().asDict()
-        for i, c in enumerate(batch):
-            out[c] = {"n_date": row[f"n{i}"], "min_date": row[f"lo{i}"], "max_date": row[f"hi{i}"]}
-    return out
+    parts = []
+    texts = {c: F.col(quoted(c)) for c in columns if kind_of(types[c]) == "text"}
+    typed = {c: F.to_date(date_of(c, types[c])) for c in columns if c not in texts}
+    if texts:
+        day = F.to_date(date_from_text(F.col("value"))).alias("value")
+        parts.append(measures_long(df, texts).select("measure", day))
+    if typed:
+        parts.append(measures_long(df, typed))
+    if not parts:
+        return {}
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    found = rows.groupBy("measure").agg(
+        F.count("value").alias("n_date"), F.min("value").alias("min_date"), F.max("value").alias("max_date")
+    )
+    seen = {r["measure"]: r.asDict() for r in found.collect()}
+    return {c: seen.get(c, {"n_date": 0, "min_date": None, "max_date": None}) for c in columns}
 
 
 def _families(df: DataFrame, columns: list[str]) -> list[dict[str, Column]]:
@@ -246,7 +273,7 @@ def _families(df: DataFrame, columns: list[str]) -> list[dict[str, Column]]:
         elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             families.setdefault(dtype.typeName(), {})[c] = value
         elif kind_of(dtype) == "text":
-            families.setdefault("text", {})[c] = narrow_text(value)
+            families.setdefault("text", {})[c] = value
         else:
             families.setdefault("other", {})[c] = value.cast("string")
     return [
@@ -262,10 +289,12 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """
     if not columns:
         return {}
-    parts = [
-        measures_long(df, members).distinct().groupBy("measure").agg(F.count("*").alias("n"))
-        for members in _families(df, columns)
-    ]
+    parts = []
+    for members in _families(df, columns):
+        cells = measures_long(df, members)
+        if cells.schema["value"].dataType == T.StringType():
+            cells = cells.select("measure", narrow_text(F.col("value")).alias("value"))
+        parts.append(cells.distinct().groupBy("measure").agg(F.count("*").alias("n")))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)

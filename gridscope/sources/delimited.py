@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridscope.errors import TableError
-from gridscope.functions.clean import null_tokens
-from gridscope.operators.profile import batches
+from gridscope.functions.clean import NULL_TOKENS, null_tokens
+from gridscope.operators.keys import measures_long
 
 SCAN_ROWS = 15
 DELIMITED = (".csv",)
@@ -33,10 +33,11 @@ def read_table(
     ``multi_line`` allows line breaks inside quoted cells, at the price of one task per file.
     """
     lower = path.lower().rstrip("/")
+    typed = None
     if format == "parquet" or lower.endswith(".parquet"):
-        df = spark.read.parquet(path)
+        df = typed = spark.read.parquet(path)
     elif format == "json" or lower.endswith((".json", ".jsonl")):
-        df = spark.read.json(path)
+        df = typed = spark.read.json(path)
     elif format == "csv" or lower.endswith(DELIMITED):
         df = _read_delimited(spark, path, multi_line)
     elif lower.endswith(WORKBOOKS):
@@ -49,7 +50,8 @@ def read_table(
             raise
     else:
         raise TableError("Unsupported file type; use .csv, .parquet or .json.", "UNSUPPORTED_FILE_TYPE")
-    if not df.columns or df.isEmpty():
+    # text columns are kept only when they hold something, so only typed tables can be empty here
+    if not df.columns or (typed is not None and typed.isEmpty()):
         raise TableError("The table has no rows.", "EMPTY_DATASET")
     if max_columns is not None and len(df.columns) > max_columns:
         raise TableError(f"{len(df.columns):,} columns, more than the limit of {max_columns:,}.", "TOO_MANY_COLUMNS")
@@ -91,7 +93,10 @@ def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFra
     head = _scan(spark, first, width, multi_line)
     # rows of one file are numbered from 0 in its first block, where the header is
     numbered = head.withColumn("_row", F.monotonically_increasing_id())
-    top = numbered.where(F.col("_row") < SCAN_ROWS).select(*[null_tokens(F.col(c)) for c in cells]).collect()
+    top = [
+        tuple(None if cell in NULL_TOKENS else cell for cell in row)
+        for row in numbered.where(F.col("_row") < SCAN_ROWS).select(*cells).collect()
+    ]
     if not top:
         raise TableError("The table has no rows.", "EMPTY_DATASET")
     header_row = detect_header_row(top)
@@ -105,9 +110,12 @@ def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFra
         data = data.unionByName(others.where(~repeated))
 
     counts = _shape_check(data, cells)
-    kept = [i for i, c in enumerate(cells) if counts[c] > 0]
+    kept = [i for i, c in enumerate(cells) if counts.get(c)]
     names = column_names([header[i] for i in kept])
-    return data.select(*[null_tokens(F.col(f"c{i}")).alias(name) for i, name in zip(kept, names)])
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+    # one SQL fragment per column keeps the plan of very wide tables quick to build
+    values = [F.expr(f"CASE WHEN c{i} NOT IN ({tokens}) THEN c{i} END").alias(name) for i, name in zip(kept, names)]
+    return data.select(*values)
 
 
 def _first_file(spark: SparkSession, path: str) -> tuple[str, int]:
@@ -132,18 +140,14 @@ def _shape_check(data: DataFrame, cells: list[str]) -> dict[str, int]:
     outside_quotes = F.regexp_replace(_CORRUPT, r'"([^"]|"")*"', "")
     n_fields = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
     too_long = F.col(_CORRUPT).isNotNull() & (n_fields > len(cells))
-    counts: dict[str, int] = {}
-    # generated aggregates stay compilable; each batch prunes nothing, so batches are few
-    for batch in batches(cells):
-        row = data.agg(
-            F.count_if(too_long).alias("bad"), *[F.count(null_tokens(F.col(c))).alias(c) for c in batch]
-        ).first()
-        if row["bad"]:
-            raise TableError(
-                f"{row['bad']:,} lines have more fields than the first line; this looks like a report, not a table.",
-                "NO_TABULAR_DATA",
-            )
-        counts.update({c: row[c] for c in batch})
+    stacked = measures_long(data, {"": F.when(too_long, F.lit("1")), **{c: F.col(c) for c in cells}})
+    found = stacked.where(~F.col("value").isin(NULL_TOKENS)).groupBy("measure").agg(F.count("*").alias("n"))
+    counts = {r["measure"]: r["n"] for r in found.collect()}
+    if counts.get(""):
+        raise TableError(
+            f"{counts['']:,} lines have more fields than the first line; this looks like a report, not a table.",
+            "NO_TABULAR_DATA",
+        )
     return counts
 
 
