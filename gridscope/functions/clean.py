@@ -14,7 +14,7 @@ NULL_TOKENS = [
 TRUE_WORDS = ["true", "yes", "y", "1"]
 FALSE_WORDS = ["false", "no", "n", "0"]
 
-_MONEY_MARKS = "[$,€£%]"
+MONEY_MARKS = "$,€£%"
 _PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _SHORTHAND = r"^\s*([+-]?\d*\.?\d+)\s*([KkMmBb])\s*$"
 
@@ -50,13 +50,15 @@ def number_from_text(cell: Column, shorthand: bool = True) -> Column:
 
     ``12%`` is 12; ``1,200 USD`` is NULL.
     """
-    bare = F.regexp_replace(cell, _MONEY_MARKS, "")
+    bare = F.translate(cell, MONEY_MARKS, "")
     plain = plain_number(bare)
     if not shorthand:
         return plain
-    unit = F.upper(F.regexp_extract(bare, _SHORTHAND, 2))
-    scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9)
-    return F.when(unit != "", F.regexp_extract(bare, _SHORTHAND, 1).try_cast("double") * scale).otherwise(plain)
+    # the last letter decides, so that plain numbers meet one pattern only
+    unit = F.upper(F.right(F.rtrim(bare), F.lit(1)))
+    scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).otherwise(1e9)
+    short = F.regexp_extract(bare, _SHORTHAND, 1).try_cast("double") * scale
+    return F.when(unit.isin("K", "M", "B"), short).otherwise(plain)
 
 
 def number_of(name: str, dtype: T.DataType) -> Column:

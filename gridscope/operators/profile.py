@@ -22,6 +22,7 @@ from gridscope.functions.clean import kind_of, number_from_text, number_of, quot
 from gridscope.functions.dates import date_from_text, date_of
 from gridscope.operators import robust
 from gridscope.operators.keys import measures_long, narrow_text
+from gridscope.session import run_together
 
 GATE = 0.8  # share of values that must parse
 MAX_CATEGORIES = 50
@@ -73,6 +74,10 @@ class Profile:
     def of_type(self, *types: str) -> list[str]:
         return [c for c, info in self.columns.items() if info["type"] in types]
 
+    def spreads(self, measures: Iterable[str]) -> robust.Quantiles:
+        """Counts, extremes and quartiles of measures, as found while profiling."""
+        return robust.known_spread(self.df.sparkSession, {m: self.columns[m]["spread"] for m in measures})
+
     def to_df(self, spark: SparkSession | None = None) -> DataFrame:
         """One row per column."""
         rows = [
@@ -91,22 +96,29 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     readable = [c for c in df.columns if kind_of(types[c]) != "other"]
-    basics = first_pass(df, readable)
+    if distinct == "estimate":
+        basics = first_pass(df, readable)
+        distincts = estimated_distincts(df, readable, {c: basics[c]["n"] for c in readable})
+    else:
+        basics, distincts = run_together(
+            df.sparkSession, lambda: first_pass(df, readable), lambda: distinct_counts(df, readable)
+        )
     n_rows = basics.pop("")["n_rows"]
     filled = [c for c in readable if basics[c]["n"] > 0]
     numeric = [
         c for c in filled
         if kind_of(types[c]) in ("number", "text") and basics[c]["n_num"] / basics[c]["n"] >= GATE
     ]
+    measures = [c for c in numeric if not names.names_identifier(c)]
     others = [c for c in filled if c not in set(numeric)]
-    dates = date_pass(df, [c for c in others if kind_of(types[c]) in ("text", "date")])
-    if distinct == "estimate":
-        distincts = estimated_distincts(df, filled, {c: basics[c]["n"] for c in filled})
-    else:
-        distincts = distinct_counts(df, filled)
+    dates, stats = run_together(
+        df.sparkSession,
+        lambda: date_pass(df, [c for c in others if kind_of(types[c]) in ("text", "date")]),
+        lambda: measure_stats(df, measures, basics, group_limit),
+    )
 
     columns: dict[str, dict[str, Any]] = {}
-    open_text, measures = [], []
+    open_text = []
     for c in df.columns:
         if c not in basics:
             columns[c] = {"type": "unsupported"}
@@ -123,13 +135,14 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
         columns[c] = info
         if c in numeric:
             info["type_confidence"] = gate_confidence(basics[c]["n_num"] / n)
-            if names.names_identifier(c):
+            if c not in stats:
                 info["type"] = "identifier"
             else:
-                info["type"] = "numeric_measure"
                 kind, sure, confidence = names.agg_kind_of(c)
-                info.update(agg_kind=kind, agg_kind_confident=sure, agg_kind_confidence=confidence)
-                measures.append(c)
+                info.update(
+                    type="numeric_measure", agg_kind=kind, agg_kind_confident=sure,
+                    agg_kind_confidence=confidence, **stats[c],
+                )
         elif c in dates and dates[c]["n_date"] / n >= GATE:
             info.update(
                 type="date",
@@ -144,8 +157,6 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
     tops = top_values(df, few)
     for c in open_text:
         columns[c].update(text_type(kind_of(types[c]), basics[c]["n"], columns[c]["cardinality"], tops.get(c, [])))
-    for c, stats in measure_stats(df, measures, basics, group_limit).items():
-        columns[c].update(stats)
     return Profile(df, n_rows, columns, {c: basics[c]["n"] if c in basics else n_rows for c in df.columns})
 
 
@@ -313,7 +324,7 @@ def estimated_distincts(df: DataFrame, columns: list[str], counts: Mapping[str,
         out.update({c: row[f"v{i}"] for i, c in enumerate(batch)})
     near = [
         c for c in columns
-        if out[c] <= 20 * MAX_CATEGORIES or any(abs(out[c] / counts[c] - r) < 0.1 for r in (0.7, 1.0))
+        if out[c] <= 20 * MAX_CATEGORIES or any(abs(out[c] / counts[c] - r) < 0.1 for r in (0.7, 1.0) if counts[c])
     ]
     out.update(distinct_counts(df, near))
     return out
@@ -360,7 +371,7 @@ def measure_stats(
             "mean": round(r["trimmed_mean"], 2),
             "min": round(basics[c]["min"], 2),
             "max": round(basics[c]["max"], 2),
-            "q1": r["q1"], "q2": r["q2"], "q3": r["q3"],
+            "spread": {k: r[k] for k in ("n", "v_min", "v_max", "q1", "q2", "q3")},
         }
     return out
 

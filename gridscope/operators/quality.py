@@ -10,6 +10,7 @@ from gridscope.functions.clean import kind_of, number_of, quoted, value_of
 from gridscope.operators import robust
 from gridscope.operators.keys import attach, measures_long, narrow_text, row_key
 from gridscope.operators.profile import Profile
+from gridscope.operators.quantiles import Quantiles
 
 MIN_VALUES = 5
 EXAMPLES = 5
@@ -108,10 +109,12 @@ def _measure_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return measures_long(df, {c: number_of(c, types[c]) for c in columns})
 
 
-def outlier_report(df: DataFrame, columns: list[str], group_limit: int | None = None) -> DataFrame:
+def outlier_report(
+    df: DataFrame, columns: list[str], group_limit: int | None = None, spread: Quantiles | None = None
+) -> DataFrame:
     """``measure, n_outliers, pct, lower, upper`` beyond 1.5 IQR, for measures that have some."""
     rows = _measure_rows(df, columns)
-    found = robust.spread(rows, ["measure"], group_limit)
+    found = spread or robust.measured_spread(rows, group_limit)
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
     return (
         attach(rows, usable, ["measure"], found.groups, "value")
@@ -132,11 +135,12 @@ def outlier_report(df: DataFrame, columns: list[str], group_limit: int | None =
 
 
 def outlier_examples(
-    df: DataFrame, columns: list[str], k: int = EXAMPLES, group_limit: int | None = None
+    df: DataFrame, columns: list[str], k: int = EXAMPLES, group_limit: int | None = None,
+    spread: Quantiles | None = None,
 ) -> DataFrame:
     """``measure, rank, value``: the ``k`` outliers farthest from the median, ties by value."""
     rows = _measure_rows(df, columns)
-    found = robust.spread(rows, ["measure"], group_limit)
+    found = spread or robust.measured_spread(rows, group_limit)
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
     far = attach(rows, usable, ["measure"], found.groups, "value").where(robust.outside(robust.FLAG))
     order = Window.partitionBy("measure").orderBy(F.desc(F.abs(F.col("value") - F.col("q2"))), F.asc("value"))
@@ -147,7 +151,7 @@ def outlier_examples(
     )
 
 
-def quality_report(df: DataFrame, prof: Profile, group_limit: int | None = None) -> dict[str, Any]:
+def quality_report(df: DataFrame, prof: Profile) -> dict[str, Any]:
     """The whole report as one dictionary of small results."""
     n_rows = prof.n_rows
     missing = {}
@@ -158,13 +162,14 @@ def quality_report(df: DataFrame, prof: Profile, group_limit: int | None = None)
     measures = prof.of_type("numeric_measure")
     outliers: dict[str, Any] = {}
     if measures:
-        for r in outlier_report(df, measures, group_limit).collect():
+        for r in outlier_report(df, measures, spread=prof.spreads(measures)).collect():
             outliers[r["measure"]] = {
                 "count": r["n_outliers"], "pct": r["pct"],
                 "bounds": {"lower": r["lower"], "upper": r["upper"]}, "examples": [],
             }
         if outliers:
-            for r in outlier_examples(df, list(outliers), group_limit=group_limit).orderBy("measure", "rank").collect():
+            examples = outlier_examples(df, list(outliers), spread=prof.spreads(outliers))
+            for r in examples.orderBy("measure", "rank").collect():
                 outliers[r["measure"]]["examples"].append(r["value"])
     entities: dict[str, Any] = {}
     column = entity_column(prof)

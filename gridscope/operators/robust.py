@@ -6,9 +6,9 @@ group; everything else is an expression over that row or a second, conditional a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridscope.operators.keys import attach
 from gridscope.operators.quantiles import Quantiles, exact_quantiles
@@ -29,6 +29,23 @@ def spread(
     return Quantiles(frame, found.groups)
 
 
+SPREAD_FIELDS = "n long, v_min double, v_max double, q1 double, q2 double, q3 double"
+
+
+def known_spread(spark: SparkSession, facts: Mapping[str, Mapping[str, float]]) -> Quantiles:
+    """The spread of measures whose quartiles are known already, one row per measure."""
+    fields = ["n", "v_min", "v_max", "q1", "q2", "q3"]
+    rows = [(m, *[f[k] for k in fields]) for m, f in facts.items()]
+    return Quantiles(spark.createDataFrame(rows, f"measure string, {SPREAD_FIELDS}"), len(rows))
+
+
+def measured_spread(rows: DataFrame, group_limit: int | None = None) -> Quantiles:
+    """Spread per ``measure``, computed once and kept: one row per measure column."""
+    found = spread(rows, ["measure"], group_limit)
+    kept = rows.sparkSession.createDataFrame(found.frame.collect(), found.frame.schema)
+    return Quantiles(kept, found.groups)
+
+
 def fence(side: str, multiplier: float = TRIM) -> Column:
     iqr = F.col("q3") - F.col("q1")
     return F.col("q1") - multiplier * iqr if side == "low" else F.col("q3") + multiplier * iqr

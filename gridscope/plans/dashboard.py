@@ -22,6 +22,7 @@ from gridscope.operators import charts as C, statements as S
 from gridscope.operators.overrides import apply_overrides, apply_review, labels_for
 from gridscope.operators.profile import Profile, profile, top_values
 from gridscope.operators.quality import quality_report
+from gridscope.session import run_together
 from gridscope.sources.records import typed_records
 
 # How many charts of each kind a dashboard may hold.
@@ -98,8 +99,11 @@ def analyze(
     inferred = profile(df, distinct=distinct)
     final = apply_overrides(apply_review(inferred, reviewed or {}), overrides or {})
     labels = labels_for(final, reviewed)
-    quality = quality_report(df, inferred if quality_first else final)
-    charts = build_charts(final, labels)
+    quality, charts = run_together(
+        df.sparkSession,
+        lambda: quality_report(df, inferred if quality_first else final),
+        lambda: build_charts(final, labels),
+    )
     warn_inflated(charts, quality, labels)
     return Analysis(
         profile=final,
@@ -128,11 +132,14 @@ def overview_of(prof: Profile) -> dict[str, Any]:
 
 def build_charts(prof: Profile, labels: Mapping[str, str]) -> list[dict[str, Any]]:
     """The charts of a dashboard, in display order."""
-    bars = _bars(prof, labels)
-    return [
-        *_cards(prof, labels), *_lines(prof, labels), *bars, *_histograms(prof, labels),
-        *_pies(prof, labels, {b["category_column"] for b in bars}),
-    ]
+    def bars_and_pies() -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
+        bars = _bars(prof, labels)
+        return bars, _pies(prof, labels, {b["category_column"] for b in bars})
+
+    lines, (bars, pies), histograms = run_together(
+        prof.df.sparkSession, lambda: _lines(prof, labels), bars_and_pies, lambda: _histograms(prof, labels)
+    )
+    return [*_cards(prof, labels), *lines, *bars, *histograms, *pies]
 
 
 def _outlier_note(prof: Profile, labels: Mapping[str, str], measure: str) -> dict[str, str]:
@@ -237,7 +244,7 @@ def _histograms(prof: Profile, labels: Mapping[str, str]) -> list[dict[str, Any]
     measures = prof.of_type("numeric_measure")[:MAX_HISTOGRAMS]
     if not measures:
         return []
-    found = C.histograms(prof.df, measures)
+    found = C.histograms(prof.df, measures, spread=prof.spreads(measures))
     rows = sorted(found.collect(), key=lambda r: r["bin"])
     flat = prof.df.sparkSession.createDataFrame(rows, found.schema)
     facts = {f["measure"]: f for f in S.histogram_statement(flat).collect()}

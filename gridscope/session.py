@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -53,3 +57,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and forget how it was made."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def run_together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """Results of independent jobs, submitted at once so that none waits for another's tail."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [f.result() for f in futures]
