@@ -89,9 +89,9 @@ def scatter_points(
 def hash_sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
     """``n`` rows chosen by a seeded hash of ``key`` (all columns by default).
 
-    The same rows come back whatever the partitioning. A threshold slightly above the wanted
-    share first thins every partition, so that only about ``n`` rows are ranked; it is
-    widened until enough rows pass. Smaller tables come back whole.
+    The same rows come back whatever the partitioning. Every row draws a number from its
+    hash; those well below the wanted share are in, those well above are out, and only the
+    narrow band between is ranked. Tables of at most ``n`` rows come back whole.
     """
     total = df.count()
     if total <= n:
@@ -101,9 +101,17 @@ def hash_sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED, key: list
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(2**53))).alias("_u")
     drawn = df.select("*", draw)
     share = n / total
-    reach = share + 6 * math.sqrt(share / total)
-    while reach < 1 and drawn.where(F.col("_u") <= reach).count() < n:
-        reach *= 2
-    near = drawn.where(F.col("_u") <= reach) if reach < 1 else drawn
-    ties = [quoted(c) for c in (key or [])]
-    return near.orderBy("_u", *ties).limit(n).drop("_u")
+    margin = 6 * math.sqrt(share / total)
+    low, high = max(0.0, share - margin), share + margin
+    while True:
+        seen = drawn.agg(F.count_if(F.col("_u") < low).alias("sure"), F.count_if(F.col("_u") < high).alias("near")).first()
+        if seen.sure > n:
+            low /= 2
+        elif seen.near < n:
+            high *= 2
+        else:
+            break
+    sure = drawn.where(F.col("_u") < low)
+    band = drawn.where((F.col("_u") >= low) & (F.col("_u") < high))
+    edge = band.orderBy("_u", *[quoted(c) for c in (key or [])]).limit(n - seen.sure)
+    return sure.unionByName(edge).drop("_u")

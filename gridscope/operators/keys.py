@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridscope.functions.clean import kind_of, quoted, value_of
 
@@ -33,7 +33,7 @@ def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
             value = F.to_json(F.struct(value.alias("v")))
         text = value.cast("string")
         cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
-    return F.sha2(F.concat(*cells), 256)
+    return F.unhex(F.sha2(F.concat(*cells), 256))
 
 
 def attach(rows: DataFrame, facts: DataFrame, by: Sequence[str], n_facts: int, spread_on: str) -> DataFrame:
@@ -63,7 +63,3 @@ def measures_long(df: DataFrame, measures: dict[str, Column], keep: dict[str, Co
     ])
     long = flat.select(*keep, F.inline(pairs))
     return long.where(F.col("value").isNotNull())
-
-
-def is_numeric(dtype: T.DataType) -> bool:
-    return kind_of(dtype) == "number"

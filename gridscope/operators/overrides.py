@@ -31,7 +31,7 @@ def apply_review(prof: Profile, reviewed: Mapping[str, Mapping[str, Any]]) -> Pr
         if info["type"] == "numeric_measure" and kind in AGG_KINDS:
             info = {**info, "agg_kind": kind}
         columns[c] = info
-    return Profile(prof.df, prof.n_rows, columns, prof.counts)
+    return Profile(prof.df, prof.n_rows, columns, prof.counts, prof.exact)
 
 
 def labels_for(prof: Profile, reviewed: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, str]:
@@ -102,4 +102,4 @@ def apply_overrides(
         elif wanted[c] == "categorical":
             info["top_values"] = tops[c]
         columns[c] = info
-    return Profile(df, prof.n_rows, columns, prof.counts)
+    return Profile(df, prof.n_rows, columns, prof.counts, prof.exact)

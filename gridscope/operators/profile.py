@@ -65,8 +65,12 @@ PROFILE_SCHEMA = T.StructType([
 class Profile:
     """Column types and statistics of one table: ``profile.columns[name]["type"]``."""
 
-    def __init__(self, df: DataFrame, n_rows: int, columns: dict[str, dict[str, Any]], counts: dict[str, int]):
+    def __init__(
+        self, df: DataFrame, n_rows: int, columns: dict[str, dict[str, Any]], counts: dict[str, int],
+        exact: bool = True,
+    ):
         self.df = df
+        self.exact = exact  # whether all cardinalities were counted
         self.n_rows = n_rows
         self.columns = columns
         self.counts = counts  # non-null values per column
@@ -97,11 +101,11 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
     types = {f.name: f.dataType for f in df.schema.fields}
     readable = [c for c in df.columns if kind_of(types[c]) != "other"]
     if distinct == "estimate":
-        basics = first_pass(df, readable)
-        distincts = estimated_distincts(df, readable, {c: basics[c]["n"] for c in readable})
+        basics = first_pass(df, df.columns)
+        distincts = estimated_distincts(df, readable, basics)
     else:
         basics, distincts = run_together(
-            df.sparkSession, lambda: first_pass(df, readable), lambda: distinct_counts(df, readable)
+            df.sparkSession, lambda: first_pass(df, df.columns), lambda: distinct_counts(df, readable)
         )
     n_rows = basics.pop("")["n_rows"]
     filled = [c for c in readable if basics[c]["n"] > 0]
@@ -120,7 +124,7 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
     columns: dict[str, dict[str, Any]] = {}
     open_text = []
     for c in df.columns:
-        if c not in basics:
+        if c not in distincts:
             columns[c] = {"type": "unsupported"}
             continue
         n = basics[c]["n"]
@@ -157,7 +161,7 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
     tops = top_values(df, few)
     for c in open_text:
         columns[c].update(text_type(kind_of(types[c]), basics[c]["n"], columns[c]["cardinality"], tops.get(c, [])))
-    return Profile(df, n_rows, columns, {c: basics[c]["n"] if c in basics else n_rows for c in df.columns})
+    return Profile(df, n_rows, columns, {c: basics[c]["n"] for c in df.columns}, exact=distinct != "estimate")
 
 
 def text_type(kind: str, n: int, cardinality: int, top: list[dict[str, Any]]) -> dict[str, Any]:
@@ -313,8 +317,10 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: found.get(c, 0) for c in columns}
 
 
-def estimated_distincts(df: DataFrame, columns: list[str], counts: Mapping[str, int]) -> dict[str, int]:
-    """Sketched cardinalities; exact ones where they decide a type or a check."""
+def estimated_distincts(
+    df: DataFrame, columns: list[str], basics: Mapping[str, Mapping[str, Any]]
+) -> dict[str, int]:
+    """Sketched cardinalities; counted ones where they decide a type or the entity column."""
     types = {f.name: f.dataType for f in df.schema.fields}
     out: dict[str, int] = {}
     for batch in batches(columns):
@@ -322,11 +328,15 @@ def estimated_distincts(df: DataFrame, columns: list[str], counts: Mapping[str,
             *[F.approx_count_distinct(f"v{i}", 0.02).alias(f"v{i}") for i in range(len(batch))]
         ).first()
         out.update({c: row[f"v{i}"] for i, c in enumerate(batch)})
-    near = [
-        c for c in columns
-        if out[c] <= 20 * MAX_CATEGORIES or any(abs(out[c] / counts[c] - r) < 0.1 for r in (0.7, 1.0) if counts[c])
-    ]
-    out.update(distinct_counts(df, near))
+
+    def decides(c: str) -> bool:
+        n = basics[c]["n"]
+        if out[c] <= 20 * MAX_CATEGORIES:
+            return True
+        is_measure = basics[c]["n_num"] >= GATE * n and not names.names_identifier(c)
+        return not is_measure and out[c] >= 0.6 * n
+
+    out.update(distinct_counts(df, [c for c in columns if decides(c)]))
     return out
 
 
@@ -379,15 +389,15 @@ def measure_stats(
 def column_samples(df: DataFrame, n: int = 5) -> DataFrame:
     """``column, samples``: the first ``n`` non-null values of each column as text.
 
-    Every column stops reading once it has its values.
+    Each column reads partitions one after the other only until it has its values.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for c in df.columns:
-        text = value_of(c, types[c]).cast("string") if kind_of(types[c]) != "other" else F.to_json(F.struct(quoted(c)))
-        few = df.select(text.alias("v")).where(F.col("v").isNotNull()).limit(n)
-        parts.append(few.agg(F.collect_list("v").alias("samples")).select(F.lit(c).alias("column"), "samples"))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+
+    def first_values(c: str) -> list[str]:
+        other = kind_of(types[c]) == "other"
+        text = F.to_json(F.struct(quoted(c))) if other else value_of(c, types[c]).cast("string")
+        present = F.col(quoted(c)).isNotNull() if other else text.isNotNull()
+        return [r.v for r in df.where(present).select(text.alias("v")).take(n)]
+
+    rows = [(c, first_values(c)) for c in df.columns]
+    return df.sparkSession.createDataFrame(rows, "column string, samples array<string>")

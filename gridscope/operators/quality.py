@@ -174,7 +174,8 @@ def quality_report(df: DataFrame, prof: Profile) -> dict[str, Any]:
     entities: dict[str, Any] = {}
     column = entity_column(prof)
     # all values unique: nothing can repeat, no need to look
-    if column and prof.columns[column]["cardinality"] < prof.counts[column]:
+    all_unique = column and prof.exact and prof.columns[column]["cardinality"] == prof.counts[column]
+    if column and not all_unique:
         summary = entity_summary(df, column).first()
         if summary["n_repeated_values"]:
             entities[column] = {

@@ -8,6 +8,7 @@ from gridscope.functions.clean import number_of, value_of
 from gridscope.functions.dates import date_of
 from gridscope.operators.explore import hash_sample
 from gridscope.operators.profile import Profile
+from gridscope.session import scratch_path
 
 KEPT_TYPES = ("numeric_measure", "date", "categorical", "boolean", "identifier")
 MAX_MEAN_LENGTH = 60
@@ -52,3 +53,14 @@ def write_records(records: DataFrame, path: str, format: str = "json", mode: str
     if format == "json":
         writer = writer.option("ignoreNullFields", False)
     writer.format(format).save(path)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Worth it for text sources before several operators read them: later scans then take only
+    the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -7,8 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridscope.session import scratch_path
 
-LATENESS = "1 day"
-
 
 def daily_activity(events: DataFrame, moment: Column, by: list[str] | None = None) -> DataFrame:
     """``day, by..., n``; records without a time are left out."""
@@ -24,14 +22,20 @@ def usage_totals(events: DataFrame, moment: Column) -> DataFrame:
     )
 
 
-def daily_activity_stream(events: DataFrame, moment: Column, by: list[str] | None = None) -> DataFrame:
+def daily_activity_stream(
+    events: DataFrame, moment: Column, by: list[str] | None = None, lateness: str | None = None
+) -> DataFrame:
     """The same counts over a streaming ``events``, in one-day windows.
 
-    A day's state is dropped once events more than :data:`LATENESS` later have been seen.
+    The state is one counter per day and group, so by default it is kept and no event comes
+    too late. With ``lateness`` a day is closed, and its state dropped, once events that much
+    later were seen; still later events are then ignored.
     """
     by = by or []
     timed = events.select(moment.cast("timestamp").alias("_ts"), *by).where(F.col("_ts").isNotNull())
-    windows = timed.withWatermark("_ts", LATENESS).groupBy(F.window("_ts", "1 day"), *by)
+    if lateness:
+        timed = timed.withWatermark("_ts", lateness)
+    windows = timed.groupBy(F.window("_ts", "1 day"), *by)
     return windows.agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), *by, "n")
 
 

@@ -212,3 +212,11 @@ def test_activity_stream_continues_where_it_stopped(spark, tmp_path):
     add("2024-01-01", 2)
     add("2024-01-02", 3)
     assert run() == [("2024-01-01", 7), ("2024-01-02", 3)]
+    add("2023-11-30", 4)
+    assert run()[0] == ("2023-11-30", 4)
+
+
+def test_staged_table_is_the_same(spark, table):
+    df = table(fixtures.MISSING)
+    copy = records.staged(df)
+    assert copy.columns == df.columns and copy.exceptAll(df).count() == 0 and copy.count() == 120

@@ -98,6 +98,11 @@ def test_physical_types(spark):
     }
 
 
+def test_nulls_of_unsupported_columns_are_counted(spark):
+    p = profile(spark.sql("select id, if(id < 3, null, array(id)) things from range(10)"))
+    assert p.columns["things"]["type"] == "unsupported" and p.counts["things"] == 7
+
+
 def test_estimates_agree_on_types(prof):
     for lines in (fixtures.MISSING, fixtures.MIXED, fixtures.SALES):
         assert types(prof(lines)) == types(prof(lines, distinct="estimate"))
