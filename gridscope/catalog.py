@@ -184,7 +184,8 @@ def confidence_tiers(spark, folder):
 
 @query
 def samples_of_columns(spark, folder):
-    return column_samples(table(spark, folder, "orders"))
+    found = column_samples(table(spark, folder, "orders"))
+    return found.select(F.col("column").alias("column_name"), F.array_join("samples", "|").alias("samples"))
 
 
 @query

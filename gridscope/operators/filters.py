@@ -68,6 +68,8 @@ def _day_filter(cell: Column, op: str, day: date) -> Column:
 
 def _number_filter(cell: Column, op: str, target: Any) -> Column:
     truth, number = _truth(target), _number(target)
+    if number is not None and number.is_integer() and abs(number) < 2**53:
+        number = int(number)  # comparisons of whole-number columns then reach the scan
     if op in ORDERED:
         if number is None:
             return _compare(cell.cast("string"), op, _text(target))

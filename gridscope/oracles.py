@@ -407,6 +407,67 @@ SQL["spec_lookup_counts"] = f"""with {_HELD}, h as (select count(*) n from m, x
 select (select count(*) from m) matched_rows, n total_matching, n > 5 as truncated from h"""
 
 # --- dashboard ------------------------------------------------------------------------
+def bars_statement(table: str, category: str, measure: str) -> str:
+    return f"""(with g as (select {category} category, cast(round(sum({measure}), 2) as double) x from {table} group by 1),
+  b as (select * from g order by x desc, category limit 8),
+  e as (select first(category order by x desc, category) c1, max(x) v1, last(category order by x desc, category) c2, min(x) v2 from b)
+  select 'Highest: ' || c1 || ' (' || {shown('v1')} || '). Lowest: ' || c2 || ' (' || {shown('v2')} || ').' from e)"""
+
+
+def mode_statement(table: str, measure: str) -> str:
+    return f"""(with h as ({histogram(long(table, [measure]))}), m as (select * from h order by n desc, bin limit 1)
+  select 'Most common range: ' || label || ', with ' || {whole('n')} || ' of ' || {whole('total')} || ' rows (' ||
+    cast(cast(round_even(n * 100 / total, 0) as bigint) as varchar) || '%).' from m)"""
+
+
+SQL["dashboard_plan"] = """
+with c as (select count(distinct strftime(o_orderdate, '%Y-%m')) n_months, count(distinct o_orderstatus) n_statuses,
+  count(distinct o_orderpriority) n_priorities from orders),
+p as (
+  select 0 as "position", 'summary_card' chart_type, 'O Orderkey' title, null category_column, 'o_orderkey' measure_column, 0 n_points from c
+  union all select 1, 'summary_card', 'O Custkey', null, 'o_custkey', 0 from c
+  union all select 2, 'summary_card', 'O Totalprice', null, 'o_totalprice', 0 from c
+  union all select 3, 'line', 'O Orderkey over time', null, 'o_orderkey', n_months from c
+  union all select 4, 'line', 'O Custkey over time', null, 'o_custkey', n_months from c
+  union all select 5, 'bar', 'O Orderkey by O Orderstatus', 'o_orderstatus', 'o_orderkey', n_statuses from c
+  union all select 6, 'bar', 'O Custkey by O Orderstatus', 'o_orderstatus', 'o_custkey', n_statuses from c
+  union all select 7, 'bar', 'O Totalprice by O Orderstatus', 'o_orderstatus', 'o_totalprice', n_statuses from c
+  union all select 8, 'bar', 'O Orderkey by O Orderpriority', 'o_orderpriority', 'o_orderkey', n_priorities from c
+  union all select 9, 'bar', 'O Custkey by O Orderpriority', 'o_orderpriority', 'o_custkey', n_priorities from c
+  union all select 10, 'bar', 'O Totalprice by O Orderpriority', 'o_orderpriority', 'o_totalprice', n_priorities from c
+  union all select 11, 'histogram', 'Distribution of O Orderkey', null, 'o_orderkey', 10 from c
+  union all select 12, 'histogram', 'Distribution of O Custkey', null, 'o_custkey', 10 from c
+  union all select 13, 'histogram', 'Distribution of O Totalprice', null, 'o_totalprice', 10 from c
+  union all select 14, 'pie', 'Proportion of O Orderstatus', 'o_orderstatus', null, n_statuses from c
+  union all select 15, 'pie', 'Proportion of O Orderpriority', 'o_orderpriority', null, n_priorities from c)
+select cast("position" as integer) as "position", chart_type, title, category_column, measure_column, cast(n_points as integer) n_points from p"""
+
+_PART_LABELS = {"p_partkey": "P Partkey", "p_size": "P Size", "p_retailprice": "P Retailprice"}
+SQL["dashboard_statements"] = " union all ".join(
+    [
+        f"select '{label} by {c_label}' title, {bars_statement('part', c, m)} as text"
+        for c, c_label in (("p_brand", "P Brand"), ("p_type", "P Type")) for m, label in _PART_LABELS.items()
+    ]
+    + [f"select 'Distribution of {label}' title, {mode_statement('part', m)} as text" for m, label in _PART_LABELS.items()]
+    + [f"select 'Proportion of P Type' title, (select stat_summary from ({SQL['pie_statement']})) as text"]
+)
+
+SQL["dashboard_warnings"] = f"""
+with r as (select cast(n_chars as double) v from documents), {spread('r', '')}, {_DOC},
+w as (select 'Totals may count something twice: ' || cast(sum(n) as bigint) || ' rows repeat a value of ''Text'' with differing details.' x
+      from e having count(*) > 0),
+o as (select n_extreme || ' extreme ' || case when n_extreme = 1 then 'value sits' else 'values sit' end || ' in the outer bins.' x
+      from s where lo > v_min or hi < v_max)
+select 0 as "position", 'summary_card' chart_type, 'N Chars' title, (select x from w) as warning
+union all select 1, 'bar', 'N Chars by Lang', (select x from w)
+union all select 2, 'bar', 'N Chars by Source', (select x from w)
+union all select 3, 'histogram', 'Distribution of N Chars', (select x from o)
+union all select 4, 'pie', 'Proportion of Lang', null"""
+
+SQL["samples_of_columns"] = " union all ".join(
+    f"select '{c}' column_name, (select string_agg(v, '|') from (select cast({c} as varchar) v from orders limit 5)) samples"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+)
 SQL["headline_measure"] = """
 select title, total from (
   select 'O Totalprice' title, round(sum(o_totalprice), 2) total from orders

@@ -97,13 +97,13 @@ def run_spec(df: DataFrame, spec: Mapping[str, Any], tie_break: list[str] | None
 
 
 def _lookup(
-    rows: DataFrame, operation: str, target: str, columns: list[str], tie_break: list[str] | None
+    rows: DataFrame, operation: str, target: str | None, columns: list[str], tie_break: list[str] | None
 ) -> Answer:
     """The records holding the extreme, found with one scalar aggregate and one filter."""
     value = _target(rows, target)
     extreme = rows.agg((F.max(value) if operation == "max" else F.min(value)).alias("x"))
     holders = rows.where(value == extreme.scalar())
-    shown = list(dict.fromkeys([target, *columns]))
+    shown = list(dict.fromkeys(c for c in [target, *columns] if c))
     order = [quoted(c) for c in (tie_break or shown)]
     result = holders.orderBy(*order).limit(LOOKUP_ROWS).select(*[quoted(c) for c in shown])
     found = holders.agg(F.count("*").alias("n"))

@@ -37,11 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that setting is absent (local runs, tests) a temporary folder is
     made and registered as the checkpoint folder.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    named, current = spark.conf.get(CHECKPOINT_CONF, None), context.getCheckpointDir()
     if named:
+        if not current:
+            context.setCheckpointDir(named)
         return named
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if current:
         return current
     context.setCheckpointDir(tempfile.mkdtemp(prefix="gridscope-"))

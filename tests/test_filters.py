@@ -46,6 +46,8 @@ def test_typed_date_filters_reach_the_scan(spark, tmp_path):
     df = spark.read.parquet(path)
     kept = cross_filter(df, "ts", "2024-01-05", "2024-01-10")
     assert sorted(r.id for r in kept.collect()) == list(range(4, 10))
+    few = where_all(df, [{"column": "id", "operator": ">=", "value": "37"}])
+    assert few.count() == 3 and "GreaterThanOrEqual(id,37)" in few._jdf.queryExecution().executedPlan().toString()
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
     on = where_all(df, [{"column": "ts", "operator": "==", "value": "2024-01-10"}])

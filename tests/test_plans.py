@@ -127,6 +127,7 @@ def test_specs(spark):
     found = spec.run_spec(df, {"operation": "max", "target_column": "v", "return_columns": ["who"]})
     assert [tuple(r) for r in found.result.collect()] == [(5.0, "w"), (5.0, "z")]
     assert found.counts.first()[:] == (4, 2, False)
+    assert spec.run_spec(df, {"operation": "max", "return_columns": ["who"]}).result.count() == 0
     many = spark.range(100).select(F.lit(1).alias("v"), "id")
     found = spec.run_spec(many, {"operation": "min", "target_column": "v", "return_columns": ["id"]})
     assert found.result.count() == 5 and found.counts.first()[:] == (100, 100, True)
