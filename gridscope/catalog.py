@@ -14,7 +14,7 @@ from gridscope.functions import clean, dates
 from gridscope.operators import charts, explore, filters, overrides, quality, robust, roles, statements
 from gridscope.operators.keys import measures_long
 from gridscope.operators.profile import (
-    column_samples, distinct_counts, first_pass, least_confident_first, profile,
+    column_samples, distinct_counts, first_pass, first_rows, least_confident_first, profile,
 )
 from gridscope.plans import dashboard, kpi, spec
 from gridscope.session import scratch_path
@@ -188,6 +188,11 @@ def samples_of_columns(spark, folder):
     return found.select(F.col("column").alias("column_name"), F.array_join("samples", "|").alias("samples"))
 
 
+@query
+def first_rows_as_text(spark, folder):
+    return first_rows(table(spark, folder, "supplier"))
+
+
 @query
 def overrides_applied(spark, folder):
     prof = profile(table(spark, folder, "customer"))
@@ -317,7 +322,7 @@ def trimmed_mean_by_category(spark, folder):
 def trimmed_mean_by_user(spark, folder):
     df = table(spark, folder, "events").select(F.col("user_id").alias("by"), F.col("value"))
     found = charts.grouped(df, ["by"], "average")
-    return found.select(F.col("by").alias("user_id"), F.round("value", 2).alias("value"), "n")
+    return found.select(F.col("by").alias("user_id"), F.round("value", 6).alias("value"), "n")
 
 
 # --- breakdowns and trends ------------------------------------------------------------

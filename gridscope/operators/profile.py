@@ -401,3 +401,13 @@ def column_samples(df: DataFrame, n: int = 5) -> DataFrame:
 
     rows = [(c, first_values(c)) for c in df.columns]
     return df.sparkSession.createDataFrame(rows, "column string, samples array<string>")
+
+
+def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows with every cell as text."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    texts = [
+        (F.to_json(F.struct(quoted(c))) if kind_of(types[c]) == "other" else value_of(c, types[c]).cast("string")).alias(c)
+        for c in df.columns
+    ]
+    return df.limit(n).select(*texts)

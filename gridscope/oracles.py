@@ -216,7 +216,7 @@ with r as (select l_returnflag category, l_extendedprice v from lineitem), {spre
 select category, round(trimmed, 2) as value from s where n >= 5 order by trimmed desc, category limit 8"""
 SQL["trimmed_mean_by_user"] = f"""
 with r as (select user_id, value v from events), {spread('r', 'user_id')}
-select user_id, round(trimmed, 2) as value, n from s where n >= 5"""
+select user_id, round(trimmed, 6) as value, n from s where n >= 5"""
 
 # --- breakdowns and trends ------------------------------------------------------------
 SQL["sum_by_category_top8"] = """
@@ -468,6 +468,10 @@ SQL["samples_of_columns"] = " union all ".join(
     f"select '{c}' column_name, (select string_agg(v, '|') from (select cast({c} as varchar) v from orders limit 5)) samples"
     for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 )
+SQL["first_rows_as_text"] = """
+select cast(s_suppkey as varchar) s_suppkey, s_name, cast(s_nationkey as varchar) s_nationkey, cast(s_acctbal as varchar) s_acctbal
+from supplier limit 5"""
+
 SQL["headline_measure"] = """
 select title, total from (
   select 'O Totalprice' title, round(sum(o_totalprice), 2) total from orders

@@ -61,7 +61,8 @@ def test_categories_without_measures_are_counted(table):
 
 
 def test_many_measures_are_capped(table):
-    assert kinds(dashboard.analyze(table(fixtures.MANY)).charts) == {"summary_card": 6, "histogram": 3}
+    few = [",".join(line.split(",")[:30]) for line in fixtures.MANY]
+    assert kinds(dashboard.analyze(table(few)).charts) == {"summary_card": 6, "histogram": 3}
 
 
 def test_review_overrides_and_about(table):
