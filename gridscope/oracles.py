@@ -216,7 +216,7 @@ with r as (select l_returnflag category, l_extendedprice v from lineitem), {spre
 select category, round(trimmed, 2) as value from s where n >= 5 order by trimmed desc, category limit 8"""
 SQL["trimmed_mean_by_user"] = f"""
 with r as (select user_id, value v from events), {spread('r', 'user_id')}
-select user_id, round(trimmed, 6) as value, n from s where n >= 5"""
+select user_id, round(trimmed + 1e-9, 4) as value, n from s where n >= 5"""
 
 # --- breakdowns and trends ------------------------------------------------------------
 SQL["sum_by_category_top8"] = """
