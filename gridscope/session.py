@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,7 +12,10 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from gridscope.errors import TableError
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_scratch: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: int | str = 8, app: str = "gridscope", **conf: str) -> SparkSession:
@@ -34,8 +38,9 @@ def local_session(cores: int | str = 8, app: str = "gridscope", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs, tests) a temporary folder is
-    made and registered as the checkpoint folder.
+    Only where that setting is absent and the master is local (tests) a temporary folder is
+    made and registered as the checkpoint folder. On a cluster a folder of one machine would
+    be lost with it, so a missing setting is an error there.
     """
     context = spark.sparkContext
     named, current = spark.conf.get(CHECKPOINT_CONF, None), context.getCheckpointDir()
@@ -45,13 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current:
         return current
+    if not context.master.split("[")[0] == "local":
+        raise TableError("no_shared_folder", f"set {CHECKPOINT_CONF} to a folder that every executor sees")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="gridscope-"))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`shared_dir`, visible to every executor."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below :func:`shared_dir`, visible to every executor; removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(drop_scratch)
+    _scratch.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    """Delete every scratch path made so far."""
+    while _scratch:
+        spark, path = _scratch.pop()
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
