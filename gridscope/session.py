@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not context.master.split("[")[0] == "local":
-        raise TableError("no_shared_folder", f"set {CHECKPOINT_CONF} to a folder that every executor sees")
+        raise TableError(f"set {CHECKPOINT_CONF} to a folder that every executor sees", "NO_SHARED_FOLDER")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="gridscope-"))
     return context.getCheckpointDir()
 
