@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridscope.llm import html_extract, language_id
 from gridscope.llm.common import table
 from gridscope.llm.sharding import shard_documents
 
@@ -23,6 +24,21 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages learned from two thirds of ``documents`` and told for all of it."""
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs, ~language_id.held_out())
+    told = language_id.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
+@query
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 @query
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen shards by jump hash of ``doc_id``."""
