@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridscope.llm import html_extract, language_id
+from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import table
 from gridscope.llm.sharding import shard_documents
 
@@ -43,3 +44,22 @@ def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen shards by jump hash of ``doc_id``."""
     return shard_documents(table(spark, folder, "documents")).withColumn("law", F.lit("key"))
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents that are equal without white space, by block naming."""
+    return exact_duplicates(table(spark, folder, "documents")).drop("n_chars")
+
+
+SQL["op9_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS s FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY s) AS group_size,
+       row_number() OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) = 1 AS kept,
+       sha256(s) AS text_sha256
+FROM d
+"""
