@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridscope.llm import html_extract, language_id
 from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import table
+from gridscope.llm.quality_rules import judge
 from gridscope.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,12 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the verdict of the line rules for every document."""
+    return judge(table(spark, folder, "documents"))
+
+
 @query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Languages learned from two thirds of ``documents`` and told for all of it."""
