@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridscope.llm import html_extract, language_id
+from gridscope.llm import bpe, html_extract, language_id
 from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import table
 from gridscope.llm.quality_rules import judge
@@ -59,6 +60,14 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents")).drop("n_chars")
 
 
+@query
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded into ids by a rank file, and the ids decoded again."""
+    return bpe.encode_digests(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 SQL["op9_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS s FROM documents
