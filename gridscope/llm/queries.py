@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridscope.llm import bpe, html_extract, language_id
 from gridscope.llm.block_dedup import exact_duplicates
-from gridscope.llm.common import table
+from gridscope.llm.common import staged, table
+from gridscope.llm.packing import pack, pieces_of
 from gridscope.llm.quality_rules import judge
 from gridscope.llm.sharding import shard_documents
 
@@ -42,6 +43,18 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
 
 
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packed_documents(table(spark, folder, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Documents cut and packed by the production parameters, with a digest of each piece's ids."""
+    pieces = staged(pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False), "pieces")
+    return pack(pieces).drop("row")
+
+
 @query
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
