@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridscope.llm import bpe, html_extract, language_id
 from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import staged, table
+from gridscope.llm.jaccard_join import near_duplicates
 from gridscope.llm.packing import pack, pieces_of
 from gridscope.llm.quality_rules import judge
 from gridscope.llm.sharding import shard_documents
@@ -34,6 +35,12 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"))
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents with a Jaccard similarity of 0.9 or more on 3-word shingles."""
+    return near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
 @query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Languages learned from two thirds of ``documents`` and told for all of it."""
