@@ -11,9 +11,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridscope.llm import bpe, html_extract, language_id
+from gridscope.llm import bpe, html_extract, language_id, ngram_lm
 from gridscope.llm.block_dedup import exact_duplicates
-from gridscope.llm.common import staged, table
+from gridscope.llm.common import crc_share, staged, table
 from gridscope.llm.jaccard_join import near_duplicates
 from gridscope.llm.packing import pack, pieces_of
 from gridscope.llm.quality_rules import judge
@@ -35,6 +35,14 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"))
 
 
+@query
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """A bigram model learned from four fifths of ``documents``, and the score of all of it."""
+    docs, held_out = table(spark, folder, "documents"), crc_share("doc_id", 5) == 1
+    model = ngram_lm.train(docs, ~held_out)
+    return ngram_lm.score(docs, model).withColumns({"held_out": held_out, "train_tokens": F.lit(model.tokens).cast("long")})
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents with a Jaccard similarity of 0.9 or more on 3-word shingles."""
