@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridscope.llm import bpe, html_extract, language_id, ngram_lm
+from gridscope.llm import bpe, html_extract, language_id, license_scan, ngram_lm
 from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import crc_share, staged, table
 from gridscope.llm.jaccard_join import near_duplicates
@@ -70,6 +70,15 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     return pack(pieces).drop("row")
 
 
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices that documents hold to 80 percent or more."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+SQL["op6_license_scan"] = license_scan.reference_sql()
+
+
 @query
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
