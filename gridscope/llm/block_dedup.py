@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridscope.llm.common import SPACE_CLASS, staged, text_or_empty
+from gridscope.llm.common import SPACE_CLASS, rows_with, staged, text_or_empty
 
 #: A name is a rank inside one of 2**20 buckets; the bucket is part of the name.
 BUCKET_BITS, RANK_BITS = 20, 40
@@ -77,7 +77,7 @@ def block_names(
     cut = F.regexp_extract_all(F.col("__text"), F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     blocks = (
         squeezed.select("row", "__extra", F.when(F.col("__text") == "", F.array(F.lit(""))).otherwise(cut).alias("__blocks"))
-        .select("row", "__extra", (F.size("__blocks") - 1).cast("long").alias("last"), F.posexplode("__blocks").alias("pos", "block"))
+        .select("row", "__extra", (F.size("__blocks") - 1).cast("long").alias("last"), F.posexplode_outer("__blocks").alias("pos", "block"))
         .select(
             "row", F.col("pos").cast("long").alias("pos"), "last", "block", F.xxhash64("block").alias("__key"),
             F.when(F.col("pos") == 0, F.col("__extra")).alias("__extra"),
@@ -132,3 +132,11 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
         F.col("key").alias(key), F.col("best.key").alias("keep_id"), "group_size",
         (F.col("best.row") == F.col("row")).alias("kept"), "text_sha256", "n_chars",
     )
+
+
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    told = exact_duplicates(docs, key, text).where("kept")
+    whole = text_or_empty(text)
+    on = {"key": F.col(key), "n_chars": F.length(whole).cast("long"), "text_sha256": F.sha2(normalised(whole), 256)}
+    return rows_with(docs, told.withColumnRenamed(key, "key"), on, key)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from gridscope.llm.common import column_of, slices, staged
+from gridscope.llm.common import column_of, rows_with, slices, staged
 from gridscope.llm.components import components
 
 #: Bits of a shingle's hash that its rarity is counted by.
@@ -275,3 +275,12 @@ def near_duplicates(
     return facts.where("n > 0").join(named, ["d1", "d2", "n"]).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "row"
     ).unionByName(facts.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), "row"))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one with the least key.
+
+    Of a component whose rows have no key all rows stay.
+    """
+    told = near_duplicates(docs, key, text, size, percent)
+    return rows_with(docs, told.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("key")), {"key": F.col(key)}, key)

@@ -83,40 +83,51 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``key``, base counts, ``base_failed``, ``kept`` and ``kept_percent``.
-
-    A null text counts as empty and fails. Repeated rows are judged each. Other columns of
-    ``docs`` are not read; :func:`clean` keeps them.
-    """
-    lines = F.split(F.col("__text"), "\n")
-    docs = (
-        docs.select(F.col(key), text_or_empty(text).alias("__text"))
-        .withColumn("__words", F.array_remove(F.split("__text", SPACE_CLASS + "+"), ""))
-        .withColumn("__lines", lines)
-    )
-    docs = (
-        docs.select(
-            key, "__words", F.size("__words").cast("long").alias("n_words"),
-            F.length(F.regexp_replace("__text", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
-            count_of(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
-            F.filter("__lines", lambda line: F.regexp_replace(line, SPACE_CLASS + "+", "") != "").alias("__full"),
-        )
+def _judged(docs: DataFrame, carry: Column, text: str) -> DataFrame:
+    """``__row`` (``carry``), the counts and verdicts of every row, and ``__clean``, its text without the failed lines."""
+    words = F.array_remove(F.split("__text", SPACE_CLASS + "+"), "")
+    docs = docs.select(carry.alias("__row"), text_or_empty(text).alias("__text")).withColumn("__words", words)
+    docs = docs.select(
+        "__row", "__words", F.size("__words").cast("long").alias("n_words"),
+        F.length(F.regexp_replace("__text", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+        count_of(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.split("__text", "\n").alias("__lines"),
     )
+    full = F.filter("__lines", lambda line: F.regexp_replace(line, SPACE_CLASS + "+", "") != "")
+    docs = docs.withColumn("__full", full)
     docs = docs.withColumn("n_dup_lines", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"))
-    docs = docs.withColumn("__passed", F.filter("__full", lambda line: ~line_fails(line)))
-    docs = docs.withColumn("__kept_chars", F.when(F.size("__passed") == F.size("__full"), F.col("word_chars")).otherwise(
-        F.length(F.regexp_replace(F.array_join("__passed", ""), SPACE_CLASS + "+", ""))
-    )).drop("__full", "__passed")
+    docs = docs.withColumn("__passed", F.filter("__lines", lambda line: ~line_fails(line))).drop("__full")
+    docs = docs.withColumn("__clean", F.array_join("__passed", "\n"))
+    docs = docs.withColumn("__kept_chars", F.when(F.size("__passed") == F.size("__lines"), F.col("word_chars")).otherwise(
+        F.length(F.regexp_replace("__clean", SPACE_CLASS + "+", ""))
+    )).drop("__lines", "__passed")
     docs = _repeat_words(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("n_words"))
     enough = F.lit(100) * F.col("__kept_chars") >= F.lit(KEEP_PERCENT) * F.col("word_chars")
     return docs.select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "__row", "__clean", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & enough).alias("kept"), (F.lit(100) * F.col("__kept_chars") / F.greatest("word_chars", F.lit(1))).alias("kept_percent"),
     )
 
 
-def cleaned_text(text: Column) -> Column:
-    """A text without the lines that fail a rule."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line_fails(line)), "\n")
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: ``key``, base counts, ``base_failed``, ``kept`` and ``kept_percent``.
+
+    A null text counts as empty and fails. Repeated rows are judged each. Other columns of
+    ``docs`` are not read. An empty table gives no rows.
+    """
+    judged = _judged(docs, F.col(key), text).drop("__clean")
+    return judged.select(F.col("__row").alias(key), *judged.columns[1:])
+
+
+def clean(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns and without the lines that fail.
+
+    ``size``, where there is such a column, becomes the number of the cleaned text's characters.
+    """
+    judged = _judged(docs, F.struct(*[F.col(c) for c in docs.columns]), text)
+    # A filter on the verdict would be pushed below its parts and repeat them; a generator is not.
+    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(F.struct("__row", "__clean")))).alias("r")).where("r is not null")
+    made = {text: F.col("r.__clean")} | ({size: F.length("r.__clean").cast("long")} if size in docs.columns else {})
+    kinds = dict(docs.dtypes)
+    return passed.select(*[(made[c].cast(kinds[c]) if c in made else F.col("r.__row")[c]).alias(c) for c in docs.columns])
