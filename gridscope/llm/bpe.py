@@ -29,9 +29,9 @@ LONG_WORD = 256
 #: Squared bytes of the words of one recursive query: the bound of the states it keeps.
 CALL_STATES = 4_000_000
 #: Distinct words a worker remembers, and their characters.
-CACHE_WORDS, CACHE_CHARS = 250_000, 8_000_000
+CACHE_WORDS, CACHE_CHARS = 600_000, 20_000_000
 #: Bytes of text handled at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 6 << 20
 
 ENCODE = """
 WITH RECURSIVE state(word, step, pos, tok) AS (
@@ -134,9 +134,8 @@ class WordCoder:
         if call:
             self._encode(call, data)
 
-    def code(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, ids as decimal text, and the bytes they decode to. Call :meth:`learn` first."""
-        words = self.words.findall(text)
+    def code(self, words: list[str]) -> tuple[int, str, bytes]:
+        """Number of ids, ids as decimal text, and the bytes they decode to, of known words in a row."""
         return (
             sum(map(self.counts.__getitem__, words)), " ".join(map(self.ids.__getitem__, words)),
             b"".join(map(self.decoded.__getitem__, words)),
@@ -179,8 +178,8 @@ def _coded(docs: DataFrame, rank_path: str, pattern: str, key: str, text: str, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(local_file(rank_path), pattern)
         for batch in slices(batches, text, SLICE_BYTES):
-            texts = [t or "" for t in column_of(batch, text)]
-            own.learn({w for t in texts for w in own.words.findall(t)})
+            texts = [own.words.findall(t or "") for t in column_of(batch, text)]
+            own.learn({w for words in texts for w in words})
             rows = [(n, *finish(ids, decoded)) for n, ids, decoded in map(own.code, texts)]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_tokens", *(f.split()[0] for f in fields.split(", "))])
