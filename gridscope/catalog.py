@@ -322,7 +322,7 @@ def trimmed_mean_by_category(spark, folder):
 def trimmed_mean_by_user(spark, folder):
     df = table(spark, folder, "events").select(F.col("user_id").alias("by"), F.col("value"))
     found = charts.grouped(df, ["by"], "average")
-    return found.select(F.col("by").alias("user_id"), F.round(F.col("value") + 1e-9, 4).alias("value"), "n")
+    return found.select(F.col("by").alias("user_id"), F.round(F.col("value"), 2).alias("value"), "n")
 
 
 # --- breakdowns and trends ------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridscope.functions.clean import kind_of, plain_number, quoted
 from gridscope.functions.dates import date_of
@@ -24,8 +24,12 @@ ROLE_PATTERNS = [
     ("category", r"category|type|segment|department"),
     ("notes", r"note|comment|remark"),
 ]
-NUMBER_ROLES = ("sales_amount", "expense_amount", "unit_price", "quantity")
-TEXT_ROLES = ("customer_name", "product_name", "category")
+#: What the values of a role must be; roles that are not listed are taken by name alone.
+EXPECTED = {
+    "date": "dates",
+    **dict.fromkeys(("sales_amount", "expense_amount", "unit_price", "quantity"), "numbers"),
+    **dict.fromkeys(("customer_name", "product_name", "category"), "words"),
+}
 
 ROLE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -49,52 +53,45 @@ def split_columns(columns: Iterable[str]) -> tuple[dict[str, str], list[str]]:
     return {c: r for c, r in matched.items() if r}, [c for c, r in matched.items() if not r]
 
 
+def _hits(df: DataFrame, column: str, expected: str) -> dict[str, Column]:
+    """What is counted of a column: cells that are what its role expects, and numbers not below zero."""
+    dtype, cell = df.schema[column].dataType, F.col(quoted(column))
+    if expected == "dates":
+        return {"good": date_of(column, dtype).isNotNull()}
+    number = cell.cast("double") if kind_of(dtype) == "number" else plain_number(cell.cast("string"))
+    if expected == "words":
+        return {"good": number.isNull() & cell.isNotNull()}
+    return {"good": number.isNotNull(), "usable": number >= 0}
+
+
 def verify_roles(df: DataFrame, roles: Mapping[str, str], confidence: str = "high") -> list[dict]:
-    """Check guessed roles against the values, all columns in one aggregate.
+    """Check guessed roles against the values, a batch of columns in one aggregate.
 
-    Dates must parse, amounts be plain non-negative numbers, names be mostly not numbers, in
-    at least 80 % of the non-null values. Notes and other roles always pass.
+    At least 80 % of the non-null cells must be what :data:`EXPECTED` says, and of the numbers
+    among them 80 % must not be negative.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    known = [c for c in roles if c in types]
-    counts: dict[str, int] = {}
-    for batch in batches(c for c in known if roles[c] == "date" or roles[c] in NUMBER_ROLES + TEXT_ROLES):
-        inputs, aggs = [], []
-        for i, c in enumerate(batch):
-            cell = F.col(quoted(c))
-            inputs.append(cell.isNotNull().alias(f"v{i}"))
-            aggs.append(F.count_if(f"v{i}").alias(f"{c}:n"))
-            if roles[c] == "date":
-                inputs.append(date_of(c, types[c]).isNotNull().alias(f"x{i}"))
-                aggs.append(F.count_if(f"x{i}").alias(f"{c}:k"))
-            else:
-                kind = kind_of(types[c])
-                number = cell.cast("double") if kind == "number" else plain_number(cell.cast("string"))
-                inputs.append(number.alias(f"x{i}"))
-                aggs.append(F.count(f"x{i}").alias(f"{c}:k"))
-                aggs.append(F.count_if(F.col(f"x{i}") >= 0).alias(f"{c}:p"))
-        counts.update(df.select(*inputs).agg(*aggs).first().asDict())
-
-    out = []
-    for position, c in enumerate(known):
-        role, n, k = roles[c], counts.get(f"{c}:n", 0), counts.get(f"{c}:k", 0)
-        share = k / n if n else 0.0
-        if role == "date":
-            verified, note = share >= THRESHOLD, f"{share:.0%} of values parsed as valid dates"
-        elif role in NUMBER_ROLES:
-            positive = counts[f"{c}:p"] / k if k else 0.0
-            verified = share >= THRESHOLD and positive >= THRESHOLD
-            note = f"{share:.0%} numeric, {positive:.0%} of those non-negative"
-        elif role in TEXT_ROLES:
-            text = 1 - share if n else 0.0
-            verified, note = text >= THRESHOLD, f"{text:.0%} of values are non-numeric text"
-        else:
-            verified, note = True, "no strict check applied for this role"
-        out.append({
-            "position": position, "column": c, "role": role, "confidence": confidence,
-            "verified": verified, "note": note,
-        })
-    return out
+    known = [c for c in roles if c in df.columns]
+    counted: dict[str, dict[str, int]] = {}
+    for batch in batches(c for c in known if roles[c] in EXPECTED):
+        facts = [("filled", c, F.col(quoted(c)).isNotNull()) for c in batch]
+        facts += [(what, c, test) for c in batch for what, test in _hits(df, c, EXPECTED[roles[c]]).items()]
+        flags = df.select(*[test.alias(f"t{i}") for i, (_, _, test) in enumerate(facts)])
+        for (what, c, _), n in zip(facts, flags.agg(*[F.count_if(f"t{i}") for i in range(len(facts))]).first(), strict=True):
+            counted.setdefault(c, {})[what] = n
+
+    def judged(column: str) -> tuple[bool, str]:
+        if column not in counted:
+            return True, "taken by name"
+        n = counted[column]
+        note = f"{EXPECTED[roles[column]]}: {n['good']} of {n['filled']}"
+        enough = n["good"] > 0 and n["good"] >= THRESHOLD * n["filled"]
+        if "usable" not in n:
+            return enough, note
+        return enough and n["usable"] >= THRESHOLD * n["good"], f"{note}; not below zero: {n['usable']}"
+
+    return [
+        dict(zip(ROLE_SCHEMA.names, (i, c, roles[c], confidence, *judged(c)), strict=True)) for i, c in enumerate(known)
+    ]
 
 
 def roles_frame(df: DataFrame, verified: list[dict]) -> DataFrame:

@@ -216,7 +216,7 @@ with r as (select l_returnflag category, l_extendedprice v from lineitem), {spre
 select category, round(trimmed, 2) as value from s where n >= 5 order by trimmed desc, category limit 8"""
 SQL["trimmed_mean_by_user"] = f"""
 with r as (select user_id, value v from events), {spread('r', 'user_id')}
-select user_id, round(trimmed + 1e-9, 4) as value, n from s where n >= 5"""
+select user_id, round(trimmed, 2) as value, n from s where n >= 5"""
 
 # --- breakdowns and trends ------------------------------------------------------------
 SQL["sum_by_category_top8"] = """
@@ -267,9 +267,8 @@ g as (select f.*, (select min(period) from p where value = peak_value) peak_peri
         (last_value - first_value) / abs(first_value) * 100 change from f)
 select first_period, first_value, last_period, last_value, peak_period, peak_value, round(change, 4) change_pct,
   case when change > 1 then 'up' when change < -1 then 'down' else 'flat' end direction,
-  case when change > 1 then 'Up ' when change < -1 then 'Down ' else 'Roughly flat ' end ||
-  format('{{:.0f}}', round_even(abs(change), 0)) || '% from ' || first_period || ' to ' || last_period || '. Peak: ' ||
-  peak_period || ' (' || {shown('peak_value')} || ').' stat_summary from g"""
+  first_period || ' - ' || last_period || ': ' || format('{{:+.0f}}', round_even(change, 0)) || ' percent; high point ' ||
+  peak_period || ' with ' || {shown('peak_value')} || '.' stat_summary from g"""
 SQL["trend_guard"] = " union all ".join(f"""
 select '{t}' table_name, least(7, count(distinct cast({d} as date))) days_up_to_7,
   case when date_diff('day', min(cast({d} as date)), max(cast({d} as date))) > 180 then 'M'
@@ -306,8 +305,8 @@ SQL["histogram_filtered"] = histogram(
 SQL["histogram_mode"] = f"""
 with h as ({SQL['histogram_trimmed']}), m as (select * from h order by n desc, bin limit 1)
 select measure, label, n, total, cast(round_even(n * 100 / total, 0) as bigint) pct,
-  'Most common range: ' || label || ', with ' || {whole('n')} || ' of ' || {whole('total')} || ' rows (' ||
-  cast(cast(round_even(n * 100 / total, 0) as bigint) as varchar) || '%).' stat_summary from m"""
+  cast(cast(round_even(n * 100 / total, 0) as bigint) as varchar) || ' percent lie in ' || label || ': ' || {whole('n')} ||
+  ' out of ' || {whole('total')} || ' values.' stat_summary from m"""
 
 
 def pie(column: str, keep: int, limit: int) -> str:
@@ -325,14 +324,14 @@ SQL["pie_all_slices"] = pie("p_type", 6, 7)
 SQL["pie_top7_other"] = pie("p_brand", 7, 7)
 SQL["pie_statement"] = f"""
 with p as ({SQL['pie_all_slices']}) select category, value, total, cast(round_even(value * 100 / total, 0) as bigint) pct,
-  category || ' accounts for ' || cast(cast(round_even(value * 100 / total, 0) as bigint) as varchar) ||
-  ' percent of all rows (' || {whole('value')} || ' of ' || {whole('total')} || ').' stat_summary from p where rank = 1"""
+  'Largest part: ' || category || ', ' || {whole('value')} || ' out of ' || {whole('total')} || ' rows, or ' ||
+  cast(cast(round_even(value * 100 / total, 0) as bigint) as varchar) || ' percent.' stat_summary from p where rank = 1"""
 SQL["bar_statement"] = f"""
 with b as (select p_type category, cast(round(sum(p_size), 2) as double) as value from part group by p_type),
 e as (select first(category order by value desc, category) highest, max(value) highest_value,
         last(category order by value desc, category) lowest, min(value) lowest_value from b)
-select *, 'Highest: ' || highest || ' (' || {shown('highest_value')} || '). Lowest: ' || lowest || ' (' ||
-  {shown('lowest_value')} || ').' stat_summary from e"""
+select *, 'From ' || lowest || ' with ' || {shown('lowest_value')} || ' up to ' || highest || ' with ' ||
+  {shown('highest_value')} || '.' stat_summary from e"""
 
 SQL["summary_cards"] = f"""
 with r as ({long('lineitem', LINE)}), {spread('r', 'measure')}
@@ -357,10 +356,10 @@ with f as (select count(*) n, corr(l_quantity, l_extendedprice) r, regr_slope(l_
    regr_intercept(l_extendedprice, l_quantity) intercept, min(l_quantity) x_min, max(l_quantity) x_max from lineitem)
 select n, round(r, 6) r, round(slope, 6) slope, round(intercept, 2) intercept,
   round(slope * x_min + intercept, 2) trend_at_min, round(slope * x_max + intercept, 2) trend_at_max, x_min, x_max,
-  case when abs(r) < 0.2 then 'Little to no relationship between quantity and price (r = ' || format('{:.2f}', r) || ').'
-  else (case when abs(r) >= 0.7 then 'Strong ' when abs(r) >= 0.4 then 'Moderate ' else 'Weak ' end) ||
-   (case when r > 0 then 'positive' else 'negative' end) || ' relationship (r = ' || format('{:.2f}', r) ||
-   '). As quantity increases, price ' || (case when r > 0 then 'tends to rise' else 'tends to fall' end) || '.' end as statement
+  'quantity and price: ' || (case when abs(r) < 0.2 then 'no clear link' when abs(r) < 0.4 then 'a loose link'
+    when abs(r) < 0.7 then 'a clear link' else 'a close link' end) ||
+   (case when abs(r) < 0.2 then '' when r > 0 then ', rising together' else ', one rising as the other falls' end) ||
+   ' (correlation ' || format('{:.2f}', r) || ').' as statement
 from f"""
 SQL["scatter_systematic"] = """
 with o as (select row_number() over (order by o_orderkey) - 1 as "row", cast(o_custkey as double) x, o_totalprice y,
@@ -411,13 +410,13 @@ def bars_statement(table: str, category: str, measure: str) -> str:
     return f"""(with g as (select {category} category, cast(round(sum({measure}), 2) as double) x from {table} group by 1),
   b as (select * from g order by x desc, category limit 8),
   e as (select first(category order by x desc, category) c1, max(x) v1, last(category order by x desc, category) c2, min(x) v2 from b)
-  select 'Highest: ' || c1 || ' (' || {shown('v1')} || '). Lowest: ' || c2 || ' (' || {shown('v2')} || ').' from e)"""
+  select 'From ' || c2 || ' with ' || {shown('v2')} || ' up to ' || c1 || ' with ' || {shown('v1')} || '.' from e)"""
 
 
 def mode_statement(table: str, measure: str) -> str:
     return f"""(with h as ({histogram(long(table, [measure]))}), m as (select * from h order by n desc, bin limit 1)
-  select 'Most common range: ' || label || ', with ' || {whole('n')} || ' of ' || {whole('total')} || ' rows (' ||
-    cast(cast(round_even(n * 100 / total, 0) as bigint) as varchar) || '%).' from m)"""
+  select cast(cast(round_even(n * 100 / total, 0) as bigint) as varchar) || ' percent lie in ' || label || ': ' || {whole('n')} ||
+    ' out of ' || {whole('total')} || ' values.' from m)"""
 
 
 SQL["dashboard_plan"] = """
@@ -485,13 +484,16 @@ select 3::bigint n_numeric, 2::bigint n_categorical, 1::bigint n_date, cast(cast
 # --- role-based KPIs ------------------------------------------------------------------
 SALES = """sales as (select o_orderdate d, case when o_orderkey % 20 = 0 then null else o_totalprice end total,
   o_orderpriority category from orders)"""
-SQL["role_verify"] = f"""with {SALES}, k as (select count(total) / count(*) share from sales)
-select 'Order Date' column_name, 'date' "role", true verified, '100% of values parsed as valid dates' note
-union all select 'Total', 'sales_amount', share >= 0.8,
-  cast(cast(round_even(share * 100, 0) as integer) as varchar) || '% numeric, 100% of those non-negative' from k
-union all select 'Category', 'category', true, '100% of values are non-numeric text'
-union all select 'Notes', 'notes', true, 'no strict check applied for this role'
-union all select 'Customer', 'customer_name', false, '0% of values are non-numeric text'"""
+SQL["role_verify"] = f"""with {SALES}, k as (select count(*) n, count(d) dates, count(total) totals,
+  count(*) filter (where total >= 0) usable, count(category) categories,
+  count(*) filter (where try_cast(category as double) is null and category is not null) words from sales),
+r(column_name, "role", part, note) as (
+  select 'Order Date', 'date', dates / n, 'dates: ' || dates || ' of ' || n from k
+  union all select 'Total', 'sales_amount', least(totals / n, usable / totals), 'numbers: ' || totals || ' of ' || n || '; not below zero: ' || usable from k
+  union all select 'Category', 'category', words / categories, 'words: ' || words || ' of ' || categories from k
+  union all select 'Notes', 'notes', 1, 'taken by name' from k
+  union all select 'Customer', 'customer_name', 0, 'words: 0 of ' || n from k)
+select column_name, "role", part >= 0.8 as verified, note from r"""
 SQL["kpi_total"] = f"with {SALES} select round(sum(total), 2) total_revenue from sales"
 SQL["kpi_monthly"] = f"""with {SALES}
 select strftime(d, '%Y-%m') as month, round(sum(total), 2) revenue from sales where total is not null group by 1"""
@@ -499,9 +501,8 @@ SQL["kpi_top5"] = f"""with {SALES}
 select category as name, round(sum(total), 2) revenue from sales where total is not null group by 1
 order by sum(total) desc, category limit 5"""
 SQL["kpi_unavailable"] = """
-select 'total_revenue' kpi, 'no verified sales amount column found' reason
-union all select 'revenue_over_time', 'requires both a verified date column and a verified sales amount column'
-union all select 'top_categories', 'requires both a verified product/category column and a verified sales amount column'"""
+select kpi, 'no verified column for ' || reason as reason from (values ('total_revenue', 'sales_amount'),
+  ('revenue_over_time', 'sales_amount'), ('top_categories', 'sales_amount')) as t(kpi, reason)"""
 
 # --- sources, sinks, usage ------------------------------------------------------------
 SQL["csv_ingest"] = f"""with {MESSY}

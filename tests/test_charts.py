@@ -102,13 +102,13 @@ def test_statements(spark):
     points = spark.createDataFrame([("2024-01", 10.0), ("2024-02", 12.0), ("2024-03", 12.0), ("2024-04", 5.0)], "period string, value double")
     s = statements.trend_statement(points).first()
     assert (s.direction, s.peak_period, s.change_pct) == ("down", "2024-02", -50.0)
-    assert s.stat_summary == "Down 50% from 2024-01 to 2024-04. Peak: 2024-02 (12)."
+    assert s.stat_summary == "2024-01 - 2024-04: -50 percent; high point 2024-02 with 12."
     assert statements.trend_statement(points.limit(1)).count() == 0
     zero = spark.createDataFrame([("a", 0.0), ("b", 1234.5)], "period string, value double")
     z = statements.trend_statement(zero).first()
-    assert z.change_pct is None and z.direction == "flat" and z.stat_summary == "Peak: b (1,234)."
+    assert z.change_pct is None and z.direction == "flat" and z.stat_summary == "high point b with 1,234."
     bars = spark.createDataFrame([("x", 5.0), ("y", 2.5), ("z", 2.5)], "category string, value double")
-    assert statements.bar_statement(bars).first().stat_summary == "Highest: x (5). Lowest: z (2.50)."
+    assert statements.bar_statement(bars).first().stat_summary == "From z with 2.50 up to x with 5."
     assert statements.bar_statement(bars.limit(0)).count() == 0
 
 
@@ -117,7 +117,7 @@ def test_correlation(spark):
     r = explore.correlation_fit(df, "x", "y").first()
     assert (r.n, round(r.r, 9), round(r.slope, 9), round(r.intercept, 9)) == (50, 1.0, 3.0, 1.0)
     assert (r.trend_at_min, round(r.trend_at_max, 6)) == (1.0, 148.0)
-    assert r.statement == "Strong positive relationship (r = 1.00). As x increases, y tends to rise."
+    assert r.statement == "x and y: a close link, rising together (correlation 1.00)."
     flat = explore.correlation_fit(df, "x", "k").first()
     assert flat.r is None and flat.slope == 0 and flat.statement is None
     assert explore.correlation_fit(df.where("x = 1"), "x", "y").first().slope is None

@@ -179,7 +179,7 @@ def test_roles_and_kpis(spark):
     assert rest == ["Memo"]
     verified = roles.verify_roles(df, matched)
     assert [r["verified"] for r in verified] == [True, True, True, True]
-    assert verified[3]["note"] == "100% numeric, 80% of those non-negative"
+    assert verified[3]["note"] == "numbers: 5 of 5; not below zero: 4"
     found = kpi.compute_kpis(df, verified)
     assert found.available["total_revenue"].first()[0] == 48.5
     assert [tuple(r) for r in found.available["revenue_over_time"].collect()] == [("2024-01", 30.5), ("2024-02", 11.0), ("2024-03", 7.0)]
