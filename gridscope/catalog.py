@@ -295,13 +295,29 @@ def quartiles(spark, folder):
 
 @query
 def quartiles_narrowed(spark, folder):
-    """The method used for groups too large for one buffer, on the same table."""
+    """Few large groups, each spread over ranges of its values."""
     line = table(spark, folder, "lineitem")
     rows = measures_long(line, {"price": F.col("l_extendedprice")}, {"l_linestatus": F.col("l_linestatus")})
-    found = robust.spread(rows, ["l_linestatus", "measure"], group_limit=1000).frame
+    found = robust.spread(rows, ["l_linestatus", "measure"]).frame
     return found.select("l_linestatus", "n", *[F.round(q, 4).alias(q) for q in ("q1", "q2", "q3")])
 
 
+@query
+def quartiles_hot_value(spark, folder):
+    """Nine tenths of the rows share a value, and some values are infinite."""
+    line = table(spark, folder, "lineitem")
+    value = (
+        F.when(F.col("l_orderkey") % 10 != 0, 42.0).when(F.col("l_linenumber") == 1, float("inf"))
+        .when(F.col("l_linenumber") == 2, float("-inf")).otherwise(F.col("l_extendedprice").cast("double"))
+    )
+    typed = line.select("l_linestatus", value.alias("v"))
+    rows = measures_long(typed, {"v": clean.number_of("v", typed.schema["v"].dataType)}, {"l_linestatus": F.col("l_linestatus")})
+    stats = robust.trimmed_stats(rows, ["l_linestatus", "measure"])
+    return stats.select(
+        "l_linestatus", "n", *[F.round(c, 2).alias(c) for c in ("v_min", "v_max", "q1", "q2", "q3", "trimmed_mean")], "n_extreme"
+    )
+
+
 @query
 def trimmed_range(spark, folder):
     rows = measures_long(table(spark, folder, "events"), {"value": F.col("value")}, {"event_type": F.col("event_type")})
@@ -602,6 +618,37 @@ def spec_lookup_counts(spark, folder):
     return spec.run_spec(table(spark, folder, "lineitem"), _LOOKUP).counts
 
 
+@query
+def spec_text_table(spark, folder):
+    """A question about a table of texts: amounts and days are what the profile found them to be."""
+    answer = spec.run_spec(profile(messy_orders(spark, folder)), {
+        "operation": "sum", "target_column": "total_price", "group_by": "priority",
+        "filters": [
+            {"column": "ordered", "operator": ">=", "value": "1996-02-01"},
+            {"column": "total_price", "operator": ">", "value": 1000},
+            {"column": "filled", "operator": "==", "value": "true"},
+        ],
+    })
+    return answer.result.select("group", F.round("value", 2).alias("value"), "n")
+
+
+@query
+def cross_filter_text_dates(spark, folder):
+    df = records.inferred_types(profile(messy_orders(spark, folder)))
+    found = filters.cross_filter(df, "ordered", "1995-01-01", "1996-12-31", "filled", "Yes")
+    return found.agg(F.count("*").alias("n"), F.round(F.sum("total_price"), 2).alias("total"), F.min("ordered").cast("string").alias("first_day"))
+
+
+@query
+def spec_lookup_date(spark, folder):
+    """The last orders of a table of texts."""
+    answer = spec.run_spec(profile(messy_orders(spark, folder)), {
+        "operation": "max", "target_column": "ordered", "return_columns": ["order_id"],
+        "filters": [{"column": "total_price", "operator": "<", "value": 100000.5}],
+    })
+    return answer.result.select(F.col("ordered").cast("string").alias("ordered"), "order_id")
+
+
 # --- dashboard ------------------------------------------------------------------------
 
 @query

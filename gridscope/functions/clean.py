@@ -62,14 +62,14 @@ def number_from_text(cell: Column, shorthand: bool = True) -> Column:
 
 
 def number_of(name: str, dtype: T.DataType) -> Column:
-    """Column ``name`` as a double measure; NaN and unreadable cells are NULL."""
+    """Column ``name`` as a double measure; NaN, infinite and unreadable cells are NULL."""
     cell = F.col(quoted(name))
     kind = kind_of(dtype)
     if kind == "number":
         value = cell.cast("double")
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
             # adding zero turns -0.0 into 0.0, so both count as one value
-            return F.when(~F.isnan(value), value + F.lit(0.0))
+            return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value + F.lit(0.0))
         return value
     if kind == "text":
         return number_from_text(cell, shorthand=not names_size(name))

@@ -32,18 +32,17 @@ def _text(df: DataFrame, column: str) -> Column:
 
 
 def grouped(
-    rows: DataFrame, by: Sequence[str], kind: str, min_group: int = MIN_GROUP, group_limit: int | None = None
+    rows: DataFrame, by: Sequence[str], kind: str, min_group: int = MIN_GROUP
 ) -> DataFrame:
     """``by..., value, n`` for rows ``(by..., value)`` without nulls. Values are unrounded."""
     if kind == "average":
-        stats = robust.trimmed_stats(rows, by, group_limit).where(F.col("n") >= min_group)
+        stats = robust.trimmed_stats(rows, by).where(F.col("n") >= min_group)
         return stats.select(*by, F.col("trimmed_mean").alias("value"), "n")
     return rows.groupBy(*by).agg(F.sum("value").alias("value"), F.count("*").alias("n"))
 
 
 def breakdown(
     df: DataFrame, category: str, measure: str | None = None, kind: str = "sum", top: int = TOP_CATEGORIES,
-    group_limit: int | None = None,
 ) -> DataFrame:
     """``category, value``: the ``top`` categories by ``value``, ties by category.
 
@@ -54,12 +53,12 @@ def breakdown(
         counts = df.select(key).where(F.col("category").isNotNull()).groupBy("category")
         return counts.agg(F.count("*").alias("value")).orderBy(F.desc("value"), "category").limit(top)
     rows = df.select(key, _number(df, measure).alias("value")).dropna()
-    ranked = grouped(rows, ["category"], kind, group_limit=group_limit).orderBy(F.desc("value"), "category").limit(top)
+    ranked = grouped(rows, ["category"], kind).orderBy(F.desc("value"), "category").limit(top)
     return ranked.select("category", F.round("value", 2).alias("value"))
 
 
 def breakdowns(
-    df: DataFrame, pairs: Sequence[tuple[str, str, str]], top: int = TOP_CATEGORIES, group_limit: int | None = None
+    df: DataFrame, pairs: Sequence[tuple[str, str, str]], top: int = TOP_CATEGORIES
 ) -> DataFrame:
     """Many breakdowns at once: ``category_column, measure, rank, category, value``.
 
@@ -78,7 +77,7 @@ def breakdowns(
             ) for c, m in chosen
         ])
         rows = df.select(F.inline(cells)).where(F.col("category").isNotNull() & F.col("value").isNotNull())
-        parts.append(grouped(rows, ["category_column", "measure", "category"], kind, group_limit=group_limit))
+        parts.append(grouped(rows, ["category_column", "measure", "category"], kind))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
@@ -92,21 +91,20 @@ def breakdowns(
 
 def trend(
     df: DataFrame, date_column: str, measure: str, kind: str, grouping: str, week_start: str = "monday",
-    group_limit: int | None = None,
 ) -> DataFrame:
     """``period, value`` in period order. Periods without rows do not appear."""
     moment = dates.date_of(date_column, df.schema[date_column].dataType)
     rows = df.select(
         dates.period_start(moment, grouping, week_start).alias("start"), _number(df, measure).alias("value")
     ).dropna()
-    values = grouped(rows, ["start"], kind, group_limit=group_limit)
+    values = grouped(rows, ["start"], kind)
     label = dates.period_label(F.col("start"), grouping, week_start).alias("period")
     return values.orderBy("start").select(label, F.round("value", 2).alias("value"))
 
 
 def trends(
     df: DataFrame, date_column: str, measures: Sequence[tuple[str, str]], grouping: str,
-    week_start: str = "monday", group_limit: int | None = None,
+    week_start: str = "monday",
 ) -> DataFrame:
     """Trends of several ``(measure, kind)`` over one date column: ``measure, period, value``."""
     moment = dates.date_of(date_column, df.schema[date_column].dataType)
@@ -116,7 +114,7 @@ def trends(
         chosen = {m: _number(df, m) for m, k in measures if k == kind}
         if chosen:
             rows = measures_long(df, chosen, keep).where(F.col("start").isNotNull())
-            parts.append(grouped(rows, ["measure", "start"], kind, group_limit=group_limit))
+            parts.append(grouped(rows, ["measure", "start"], kind))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
@@ -140,7 +138,7 @@ BIN_STYLES = {
 
 
 def histograms(
-    df: DataFrame, measures: Sequence[str], bins: int = BINS, style: str = "report", group_limit: int | None = None,
+    df: DataFrame, measures: Sequence[str], bins: int = BINS, style: str = "report",
     spread: Quantiles | None = None,
 ) -> DataFrame:
     """Equal-width bins over the trimmed range of each measure.
@@ -150,7 +148,7 @@ def histograms(
     ``spread`` known from profiling saves computing the quartiles again.
     """
     rows = measures_long(df, {m: _number(df, m) for m in measures})
-    found = spread or robust.measured_spread(rows, group_limit)
+    found = spread or robust.measured_spread(rows)
     low, high = robust.trimmed_range()
     ranges = found.frame.select(
         "measure", F.col("n").alias("total"), "v_min", "v_max", low.alias("lo"), high.alias("hi"),
@@ -208,14 +206,14 @@ def explore_proportions(df: DataFrame, category: str, keep: int = PIE_SLICES) ->
 
 
 def summary_cards(
-    df: DataFrame, measures: Sequence[tuple[str, str]], plain_sums: bool = False, group_limit: int | None = None
+    df: DataFrame, measures: Sequence[tuple[str, str]], plain_sums: bool = False
 ) -> DataFrame:
     """``measure, agg_kind, sum, mean, min, max`` for ``(measure, kind)`` pairs.
 
     The mean is trimmed; with ``plain_sums`` (filtered cards) only that of averages is.
     """
     rows = measures_long(df, {m: _number(df, m) for m, _ in measures})
-    stats = robust.trimmed_stats(rows, ["measure"], group_limit)
+    stats = robust.trimmed_stats(rows, ["measure"])
     kinds = F.create_map(*[F.lit(x) for pair in measures for x in pair])
     kind = F.element_at(kinds, F.col("measure"))
     mean = F.when((kind == "average") | F.lit(not plain_sums), F.col("trimmed_mean")).otherwise(F.col("mean"))

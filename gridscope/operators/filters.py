@@ -143,7 +143,8 @@ def cross_filter(
 ) -> DataFrame:
     """Rows within an inclusive day range and with exactly this category.
 
-    With a bound set, rows without a date are dropped. Text date columns hold ISO days.
+    With a bound set, rows without a date are dropped. Text date columns hold ISO days; for
+    other texts, filter ``sources.records.inferred_types`` of the table's profile.
     """
     tests = []
     if date_column and (start or end):

@@ -41,7 +41,7 @@ def labels_for(prof: Profile, reviewed: Mapping[str, Mapping[str, Any]] | None =
 
 
 def apply_overrides(
-    prof: Profile, overrides: Mapping[str, Mapping[str, Any]], group_limit: int | None = None
+    prof: Profile, overrides: Mapping[str, Mapping[str, Any]]
 ) -> Profile:
     """Retype columns as the user says, recomputing only what the new types need.
 
@@ -64,7 +64,7 @@ def apply_overrides(
     found_dates = date_pass(df, dates)
     bad_measures = [c for c in measures if basics[c]["n_num"] == 0]
     bad_dates = [c for c in dates if found_dates[c]["n_date"] == 0]
-    stats = measure_stats(df, [c for c in measures if c not in bad_measures], basics, group_limit)
+    stats = measure_stats(df, [c for c in measures if c not in bad_measures], basics)
     tops = top_values(df, [c for c in alive if wanted[c] == "categorical"] + bad_measures + bad_dates)
     uncounted = [c for c in alive if prof.columns[c].get("cardinality") is None]
     distincts = distinct_counts(df, uncounted)

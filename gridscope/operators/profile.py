@@ -92,7 +92,7 @@ class Profile:
         return (spark or self.df.sparkSession).createDataFrame(rows, PROFILE_SCHEMA)
 
 
-def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = None) -> Profile:
+def profile(df: DataFrame, distinct: str = "exact") -> Profile:
     """Type every column of ``df`` and compute its statistics.
 
     ``distinct="estimate"`` sketches cardinalities and counts exactly only the columns
@@ -118,7 +118,7 @@ def profile(df: DataFrame, distinct: str = "exact", group_limit: int | None = No
     dates, stats = run_together(
         df.sparkSession,
         lambda: date_pass(df, [c for c in others if kind_of(types[c]) in ("text", "date")]),
-        lambda: measure_stats(df, measures, basics, group_limit),
+        lambda: measure_stats(df, measures, basics),
     )
 
     columns: dict[str, dict[str, Any]] = {}
@@ -362,7 +362,7 @@ def top_values(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> dict[s
 
 
 def measure_stats(
-    df: DataFrame, columns: list[str], basics: Mapping[str, Mapping[str, Any]], group_limit: int | None = None
+    df: DataFrame, columns: list[str], basics: Mapping[str, Mapping[str, Any]]
 ) -> dict[str, dict[str, Any]]:
     """Sum, trimmed mean, extremes, outlier count and zero anchor of numeric columns."""
     if not columns:
@@ -370,7 +370,7 @@ def measure_stats(
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = measures_long(df, {c: number_of(c, types[c]) for c in columns})
     known = (len(columns), max(basics[c]["n_num"] for c in columns))
-    found = robust.trimmed_stats(rows, ["measure"], group_limit, known).withColumn("anchor", robust.zero_anchor())
+    found = robust.trimmed_stats(rows, ["measure"], known).withColumn("anchor", robust.zero_anchor())
     out = {}
     for r in found.collect():
         c = r["measure"]

@@ -110,11 +110,11 @@ def _measure_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def outlier_report(
-    df: DataFrame, columns: list[str], group_limit: int | None = None, spread: Quantiles | None = None
+    df: DataFrame, columns: list[str], spread: Quantiles | None = None
 ) -> DataFrame:
     """``measure, n_outliers, pct, lower, upper`` beyond 1.5 IQR, for measures that have some."""
     rows = _measure_rows(df, columns)
-    found = spread or robust.measured_spread(rows, group_limit)
+    found = spread or robust.measured_spread(rows)
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
     return (
         attach(rows, usable, ["measure"], found.groups, "value")
@@ -135,12 +135,12 @@ def outlier_report(
 
 
 def outlier_examples(
-    df: DataFrame, columns: list[str], k: int = EXAMPLES, group_limit: int | None = None,
+    df: DataFrame, columns: list[str], k: int = EXAMPLES,
     spread: Quantiles | None = None,
 ) -> DataFrame:
     """``measure, rank, value``: the ``k`` outliers farthest from the median, ties by value."""
     rows = _measure_rows(df, columns)
-    found = spread or robust.measured_spread(rows, group_limit)
+    found = spread or robust.measured_spread(rows)
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
     far = attach(rows, usable, ["measure"], found.groups, "value").where(robust.outside(robust.FLAG))
     order = Window.partitionBy("measure").orderBy(F.desc(F.abs(F.col("value") - F.col("q2"))), F.asc("value"))

@@ -1,11 +1,9 @@
 """Exact quantiles with linear interpolation, for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is fine up to a
-known group size and is used there. Larger groups are narrowed down instead: each pass
-splits the bracket around a wanted rank into equal cells, counts them with map-side
-combine, and keeps the one cell holding the rank, with its true minimum and maximum as
-the next bracket. A bracket of one value is the answer. No pass moves or gathers the
-values themselves, whatever share of the rows a group holds.
+Values are counted once per group with map-side combine, so that a repeated value is one row
+however often it occurs. The counted values are dealt out in order of group and value; the
+totals of each range give the range that holds a wanted rank, and a running sum inside that
+range gives the value. A large group is spread over many ranges, and no group is gathered.
 """
 
 from __future__ import annotations
@@ -15,11 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridscope.operators.keys import attach
-from gridscope.session import cut_lineage
-
-GROUP_LIMIT = 1_000_000  # largest group whose distinct values may sit in one buffer
-CELLS = 16_384  # cells per bracket and pass: three passes settle 10^12 evenly spread values
+from gridscope.functions.clean import quoted
+from gridscope.session import scratch_path
 
 
 @dataclass
@@ -30,109 +25,53 @@ class Quantiles:
     groups: int
 
 
+def counted_values(rows: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """``by..., value, m, part``: every distinct non-null value and its number of rows.
+
+    ``part`` numbers ranges of ``(by, value)`` in order. Written once, so that the ranges are
+    the same for whatever reads them.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
+    order = [*map(quoted, by), quoted(value)]
+    ranged = counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    path = scratch_path(rows.sparkSession, "counted-values")
+    ranged.write.parquet(path)
+    return rows.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
 def exact_quantiles(
-    rows: DataFrame,
-    by: Sequence[str],
-    probs: Sequence[float],
-    value: str = "value",
-    group_limit: int | None = None,
-    known: tuple[int, int] | None = None,
+    rows: DataFrame, by: Sequence[str], probs: Sequence[float], value: str = "value", known: tuple[int, int] | None = None
 ) -> Quantiles:
     """Quantiles of non-null ``value`` per group of the non-null keys ``by``.
 
-    ``known`` is ``(number of groups, rows of the largest)`` where the caller has counted
-    them already; otherwise one aggregate finds out.
+    ``known`` is ``(number of groups, rows of the largest)`` where the caller has counted them
+    already.
     """
-    limit = GROUP_LIMIT if group_limit is None else group_limit
     by = list(by)
-    if known is not None and known[1] <= limit:
-        return Quantiles(_buffered(rows, by, probs, value), known[0])
-    sizes = rows.groupBy(*by).agg(
-        F.count(value).alias("n"), F.min(value).alias("v_min"), F.max(value).alias("v_max")
+    counted = counted_values(rows, by, value)
+    ranges = counted.groupBy(*by, "part").agg(F.sum("m").alias("m"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    # As many rows per group as the group has ranges.
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.withColumn("upto", F.sum("m").over(before))
+    sizes = ranges.groupBy(*by).agg(F.sum("m").alias("n"), F.min("lo").alias("v_min"), F.max("hi").alias("v_max"))
+    ranked = sizes.withColumn("_pos", F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in probs]))
+    wanted = F.array_union(F.transform("_pos", lambda p: F.floor(p)), F.transform("_pos", lambda p: F.ceil(p)))
+    inside = (F.col("k") >= F.col("upto") - F.col("m")) & (F.col("k") < F.col("upto"))
+    targets = (
+        ranked.select(*by, F.explode(wanted).alias("k")).join(ranges, by).where(inside)
+        .select(*by, "part", "k", (F.col("upto") - F.col("m")).alias("below"))
     )
-    seen = sizes.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > limit).alias("heavy")).first()
-    if seen.heavy == 0:
-        return Quantiles(_buffered(rows, by, probs, value), seen.groups)
-
-    heavy = cut_lineage(sizes.where(F.col("n") > limit))
-    narrowed = _narrowed(attach(rows, heavy.select(*by), by, seen.heavy, value), heavy, seen.heavy, by, probs, value)
-    if seen.heavy == seen.groups:
-        return Quantiles(narrowed, seen.groups)
-    light = cut_lineage(sizes.where(F.col("n") <= limit).select(*by))
-    light_rows = attach(rows, light, by, seen.groups - seen.heavy, value)
-    return Quantiles(_buffered(light_rows, by, probs, value).unionByName(narrowed), seen.groups)
-
-
-def _buffered(rows: DataFrame, by: list[str], probs: Sequence[float], value: str) -> DataFrame:
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("v_min"),
-        F.max(value).alias("v_max"),
-        F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q"),
+    held = Window.partitionBy(*by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = (
+        counted.join(targets.select(*by, "part").distinct(), [*by, "part"], "left_semi").withColumn("upto", F.sum("m").over(held))
     )
-
-
-def _narrowed(
-    rows: DataFrame, sizes: DataFrame, n_groups: int, by: list[str], probs: Sequence[float], value: str
-) -> DataFrame:
-    positions = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in probs])
-    ranked = sizes.withColumn("_pos", positions)
-    wanted = F.array_union(
-        F.transform("_pos", lambda p: F.floor(p)), F.transform("_pos", lambda p: F.ceil(p))
-    )
-    targets = ranked.select(
-        *by,
-        F.explode(wanted).alias("k"),
-        F.lit(0).cast("long").alias("below"),
-        F.col("v_min").alias("lo"),
-        F.col("v_max").alias("hi"),
-    )
-    bracket = [*by, "lo", "hi"]
-    max_brackets = n_groups * 2 * len(probs)
-    solved = None
-    while True:
-        targets = cut_lineage(targets)
-        found = targets.where(F.col("lo") == F.col("hi")).select(*by, "k", F.col("lo").alias("v"))
-        solved = found if solved is None else solved.unionByName(found)
-        open_targets = targets.where(F.col("lo") < F.col("hi"))
-        if open_targets.isEmpty():
-            break
-        targets = _next_brackets(rows, open_targets, bracket, by, max_brackets, value)
-
-    values = solved.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_at"))
-    joined = ranked.join(values, by)
+    at = F.col("k") - F.col("below")
+    found = targets.join(running, [*by, "part"]).where((at >= F.col("upto") - F.col("m")) & (at < F.col("upto")))
+    values = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", F.col(value).alias("v")))).alias("_at"))
     interpolated = F.transform(
         "_pos",
         lambda p: F.element_at("_at", F.floor(p))
         + (p - F.floor(p)) * (F.element_at("_at", F.ceil(p)) - F.element_at("_at", F.floor(p))),
     )
-    return joined.select(*by, "n", "v_min", "v_max", interpolated.alias("q"))
-
-
-def _next_brackets(
-    rows: DataFrame, targets: DataFrame, bracket: list[str], by: list[str], max_brackets: int, value: str
-) -> DataFrame:
-    """One narrowing pass over the rows."""
-    brackets = targets.select(*bracket).distinct()
-    inside = attach(rows, brackets, by, max_brackets, value).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    # halved before subtracting, so that very large opposite bounds do not overflow
-    share = (F.col(value) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
-    cells = inside.groupBy(*bracket, cell.alias("cell")).agg(
-        F.count("*").alias("m"), F.min(value).alias("c_min"), F.max(value).alias("c_max")
-    )
-    # at most CELLS rows per window partition
-    upto = Window.partitionBy(*bracket).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("upto", F.sum("m").over(upto))
-    ahead = F.col("k") - F.col("below")
-    return (
-        targets.join(cells, bracket)
-        .where((ahead < F.col("upto")) & (ahead >= F.col("upto") - F.col("m")))
-        .select(
-            *by,
-            "k",
-            (F.col("below") + F.col("upto") - F.col("m")).alias("below"),
-            F.col("c_min").alias("lo"),
-            F.col("c_max").alias("hi"),
-        )
-    )
+    frame = ranked.join(values, by).select(*by, "n", "v_min", "v_max", interpolated.alias("q"))
+    return Quantiles(frame, known[0] if known is not None else sizes.count())

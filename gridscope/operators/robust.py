@@ -18,10 +18,10 @@ FLAG = 1.5  # fences for reporting outliers
 
 
 def spread(
-    rows: DataFrame, by: Sequence[str], group_limit: int | None = None, known: tuple[int, int] | None = None
+    rows: DataFrame, by: Sequence[str], known: tuple[int, int] | None = None
 ) -> Quantiles:
     """``by..., n, v_min, v_max, q1, q2, q3`` per group."""
-    found = exact_quantiles(rows, by, [0.25, 0.5, 0.75], group_limit=group_limit, known=known)
+    found = exact_quantiles(rows, by, [0.25, 0.5, 0.75], known=known)
     frame = found.frame.select(
         *by, "n", "v_min", "v_max",
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"),
@@ -39,9 +39,9 @@ def known_spread(spark: SparkSession, facts: Mapping[str, Mapping[str, float]])
     return Quantiles(spark.createDataFrame(rows, f"measure string, {SPREAD_FIELDS}"), len(rows))
 
 
-def measured_spread(rows: DataFrame, group_limit: int | None = None) -> Quantiles:
+def measured_spread(rows: DataFrame) -> Quantiles:
     """Spread per ``measure``, computed once and kept: one row per measure column."""
-    found = spread(rows, ["measure"], group_limit)
+    found = spread(rows, ["measure"])
     kept = rows.sparkSession.createDataFrame(found.frame.collect(), found.frame.schema)
     return Quantiles(kept, found.groups)
 
@@ -73,10 +73,10 @@ def zero_anchor() -> Column:
 
 
 def trimmed_stats(
-    rows: DataFrame, by: Sequence[str], group_limit: int | None = None, known: tuple[int, int] | None = None
+    rows: DataFrame, by: Sequence[str], known: tuple[int, int] | None = None
 ) -> DataFrame:
     """Per group: the spread plus ``total``, ``mean``, ``trimmed_mean``, ``n_extreme``."""
-    found = spread(rows, by, group_limit, known)
+    found = spread(rows, by, known)
     joined = attach(rows, found.frame, by, found.groups, "value")
     stats = ["n", "v_min", "v_max", "q1", "q2", "q3"]
     return (

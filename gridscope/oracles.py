@@ -208,6 +208,11 @@ select l_returnflag, measure, n, {QS} from s"""
 SQL["quartiles_narrowed"] = f"""
 with r as (select l_linestatus, l_extendedprice v from lineitem), {spread('r', 'l_linestatus')}
 select l_linestatus, n, {QS} from s"""
+SQL["quartiles_hot_value"] = f"""
+with r as (select l_linestatus, case when l_orderkey % 10 <> 0 then 42.0 when l_linenumber in (1, 2) then null
+  else cast(l_extendedprice as double) end v from lineitem), {spread('r', 'l_linestatus')}
+select l_linestatus, n, round(v_min, 2) v_min, round(v_max, 2) v_max, round(q1, 2) q1, round(q2, 2) q2, round(q3, 2) q3,
+  round(trimmed, 2) trimmed_mean, n_extreme from s"""
 SQL["trimmed_range"] = f"""
 with r as (select event_type, value v from events), {spread('r', 'event_type')}
 select event_type, round(lo, 2) lo, round(hi, 2) hi, {ANCHOR} zero_anchor from s"""
@@ -405,6 +410,18 @@ order by l_quantity, l_orderkey, l_linenumber, l_partkey limit 5"""
 SQL["spec_lookup_counts"] = f"""with {_HELD}, h as (select count(*) n from m, x where l_quantity = q)
 select (select count(*) from m) matched_rows, n total_matching, n > 5 as truncated from h"""
 
+TEXT_ORDERS = """o as (select cast(o_orderkey as varchar) order_id, cast(o_orderdate as date) ordered,
+  case when o_orderkey % 4 not in (0, 1) and o_orderkey % 50 = 2 then null else cast(o_totalprice as decimal(12, 2)) end price,
+  case when o_orderkey % 10 = 3 then 'N/A' else o_orderpriority end priority, o_orderstatus = 'F' filled from orders)"""
+SQL["spec_text_table"] = f"""with {TEXT_ORDERS}
+select priority as "group", round(cast(sum(price) as double), 2) as value, count(*) n from o
+where ordered >= date '1996-02-01' and price > 1000 and filled group by priority"""
+SQL["cross_filter_text_dates"] = f"""with {TEXT_ORDERS}
+select count(*) n, round(cast(sum(price) as double), 2) total, cast(min(ordered) as varchar) first_day from o
+where ordered between date '1995-01-01' and date '1996-12-31' and filled"""
+SQL["spec_lookup_date"] = f"""with {TEXT_ORDERS}, f as (select * from o where price < 100000.5)
+select cast(ordered as varchar) ordered, order_id from f where ordered = (select max(ordered) from f) order by order_id limit 5"""
+
 # --- dashboard ------------------------------------------------------------------------
 def bars_statement(table: str, category: str, measure: str) -> str:
     return f"""(with g as (select {category} category, cast(round(sum({measure}), 2) as double) x from {table} group by 1),

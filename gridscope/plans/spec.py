@@ -12,6 +12,7 @@ from gridscope.errors import TableError
 from gridscope.functions.clean import kind_of, number_of, quoted, value_of
 from gridscope.operators.filters import OPERATORS, where_all
 from gridscope.operators.profile import Profile
+from gridscope.sources.records import inferred_types
 
 OPERATIONS = ("sum", "average", "count", "min", "max")
 LOOKUP_ROWS = 5
@@ -73,11 +74,14 @@ def _aggregate(df: DataFrame, operation: str, column: str | None) -> Column:
     return {"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}[operation](value)
 
 
-def run_spec(df: DataFrame, spec: Mapping[str, Any], tie_break: list[str] | None = None) -> Answer:
+def run_spec(df: DataFrame | Profile, spec: Mapping[str, Any], tie_break: list[str] | None = None) -> Answer:
     """Validate ``spec`` and turn it into a plan over ``df``.
 
-    ``tie_break`` orders records with equal extremes; by default all returned columns do.
+    Given a profile, its table is queried by the inferred types: text that holds dates or
+    amounts is filtered, aggregated and shown as days and numbers. ``tie_break`` orders
+    records with equal extremes; by default all returned columns do.
     """
+    df = inferred_types(df) if isinstance(df, Profile) else df
     validate_spec(spec, df.columns)
     rows = where_all(df, spec.get("filters") or [])
     operation, target, group = spec["operation"], spec.get("target_column"), spec.get("group_by")
@@ -100,7 +104,8 @@ def _lookup(
     rows: DataFrame, operation: str, target: str | None, columns: list[str], tie_break: list[str] | None
 ) -> Answer:
     """The records holding the extreme, found with one scalar aggregate and one filter."""
-    value = _target(rows, target)
+    by_day = target and kind_of(rows.schema[target].dataType) == "date"
+    value = F.to_date(F.col(quoted(target))) if by_day else _target(rows, target)
     extreme = rows.agg((F.max(value) if operation == "max" else F.min(value)).alias("x"))
     holders = rows.where(value == extreme.scalar())
     shown = list(dict.fromkeys(c for c in [target, *columns] if c))

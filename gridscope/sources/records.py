@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridscope.functions.clean import number_of, value_of
+from gridscope.functions.clean import kind_of, number_of, quoted, value_of
 from gridscope.functions.dates import date_of
 from gridscope.operators.explore import hash_sample
 from gridscope.operators.profile import Profile
@@ -47,6 +47,22 @@ def typed_records(prof: Profile, columns: list[str] | None = None, sample: int |
     return source.select(*out)
 
 
+def inferred_types(prof: Profile) -> DataFrame:
+    """The profiled table with text columns read as what they were found to be: days and numbers.
+
+    Columns that are typed already are left untouched, so filters on them still reach the scan.
+    """
+    out = []
+    for field in prof.df.schema.fields:
+        kind, cell = prof.columns.get(field.name, {}).get("type"), F.col(quoted(field.name))
+        if kind_of(field.dataType) == "text" and kind == "date":
+            cell = F.to_date(date_of(field.name, field.dataType))
+        elif kind_of(field.dataType) == "text" and kind == "numeric_measure":
+            cell = number_of(field.name, field.dataType)
+        out.append(cell.alias(field.name))
+    return prof.df.select(*out)
+
+
 def write_records(records: DataFrame, path: str, format: str = "json", mode: str = "errorifexists") -> None:
     """Write records as JSON lines (nulls included) or Parquet."""
     writer = records.write.mode(mode)

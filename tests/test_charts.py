@@ -35,7 +35,7 @@ def test_breakdown_against_brute_force(frame):
     assert [r.category for r in got] == list(sums.index) and [r.value for r in got] == pytest.approx(sums.round(2).tolist())
     means = full.groupby("cat").v.apply(trimmed).sort_values(ascending=False).head(8)
     for limit in (None, 50):
-        got = charts.breakdown(df, "cat", "v", "average", group_limit=limit).collect()
+        got = charts.breakdown(df, "cat", "v", "average").collect()
         assert [r.category for r in got] == list(means.index)
         assert [r.value for r in got] == pytest.approx(means.tolist(), abs=0.006)
     counts = charts.breakdown(df, "cat").collect()

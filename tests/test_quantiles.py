@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridscope.functions import clean
 from gridscope.operators import keys, robust
 from gridscope.operators.quantiles import exact_quantiles
 
@@ -18,13 +19,10 @@ def skewed(n=6000, seed=7):
     return pd.DataFrame({"g": groups, "value": values})
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 500, 10, 1])
-@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
-def test_any_method_gives_the_interpolated_quantiles(spark, monkeypatch, limit, broadcast_rows):
-    monkeypatch.setattr(keys, "BROADCAST_ROWS", broadcast_rows)
+def test_quantiles_are_interpolated(spark):
     pdf = skewed()
     df = spark.createDataFrame(pdf).repartition(5)
-    found = exact_quantiles(df, ["g"], PROBS, group_limit=limit)
+    found = exact_quantiles(df, ["g"], PROBS)
     rows = {r["g"]: r for r in found.frame.collect()}
     assert found.groups == len(rows) == 4
     for g, part in pdf.groupby("g"):
@@ -37,15 +35,21 @@ def test_trimmed_mean_matches_brute_force(spark):
     pdf = skewed()
     pdf = pdf[pdf.value.abs() < 1e200]
     df = spark.createDataFrame(pdf)
-    for limit in (1_000_000, 100):
-        for r in robust.trimmed_stats(df, ["g"], group_limit=limit).collect():
-            v = pdf[pdf.g == r["g"]].value
-            q1, q3 = v.quantile([0.25, 0.75])
-            lo, hi = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
-            inner = v[(v >= lo) & (v <= hi)] if q3 != q1 else v
-            assert r["trimmed_mean"] == pytest.approx(inner.mean())
-            assert r["n_extreme"] == (0 if q3 == q1 else int(((v < lo) | (v > hi)).sum()))
-            assert v.min() <= r["trimmed_mean"] <= v.max()
+    for r in robust.trimmed_stats(df, ["g"]).collect():
+        v = pdf[pdf.g == r["g"]].value
+        q1, q3 = v.quantile([0.25, 0.75])
+        lo, hi = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
+        inner = v[(v >= lo) & (v <= hi)] if q3 != q1 else v
+        assert r["trimmed_mean"] == pytest.approx(inner.mean())
+        assert r["n_extreme"] == (0 if q3 == q1 else int(((v < lo) | (v > hi)).sum()))
+        assert v.min() <= r["trimmed_mean"] <= v.max()
+
+
+def test_infinite_values_are_no_measures(spark):
+    df = spark.createDataFrame([(float(k % 10),) for k in range(200)] + [(float("inf"),), (float("-inf"),), (float("nan"),)], "v double")
+    rows = keys.measures_long(df, {"v": clean.number_of("v", df.schema["v"].dataType)})
+    row = robust.spread(rows, ["measure"]).frame.first()
+    assert (row.n, row.v_min, row.v_max, row.q2) == (200, 0.0, 9.0, 4.5)
 
 
 def test_partitioning_does_not_matter(spark):
@@ -53,7 +57,7 @@ def test_partitioning_does_not_matter(spark):
     pdf = pdf[pdf.value.abs() < 1e200]
     one = spark.createDataFrame(pdf).coalesce(1)
     for part_a, part_b in zip(*[
-        robust.spread(df, ["g"], group_limit=200).frame.orderBy("g").collect() for df in (one, one.repartition(8))
+        robust.spread(df, ["g"]).frame.orderBy("g").collect() for df in (one, one.repartition(8))
     ]):
         assert part_a == part_b
 
