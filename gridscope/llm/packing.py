@@ -31,7 +31,7 @@ UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Byte-level BPE never merges across these borders, so ids can be looked up chunk by chunk.
 CHUNK = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
 #: Chunks a worker remembers and their characters, and the bytes of text handled at once.
-CACHE_CHUNKS, CACHE_CHARS, SLICE_BYTES = 500_000, 16_000_000, 4 << 20
+CACHE_CHUNKS, CACHE_CHARS, SLICE_BYTES = 1_200_000, 32_000_000, 8 << 20
 
 Bins = list[tuple[int, list[int]]]
 
