@@ -11,7 +11,6 @@ from gridscope.operators.statements import correlation_statement
 from gridscope.session import cut_lineage
 
 SCATTER_POINTS = 1000
-SAMPLE_ROWS = 15_000
 SEED = 42
 
 
@@ -86,7 +85,7 @@ def scatter_points(
     return numbered.where(F.col("row") % step == 0).select("row", "x", "y")
 
 
-def hash_sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
+def hash_sample(df: DataFrame, n: int, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
     """``n`` rows chosen by a seeded hash of ``key`` (all columns by default).
 
     The same rows come back whatever the partitioning. Every row draws a number from its

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridscope.errors import TableError
 from gridscope.functions.clean import NULL_TOKENS, null_tokens
-from gridscope.operators.keys import measures_long
+from gridscope.operators.profile import batches
 
 SCAN_ROWS = 15
 DELIMITED = (".csv",)
@@ -19,7 +19,6 @@ def read_table(
     path: str,
     format: str | None = None,
     max_columns: int | None = None,
-    max_rows: int | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """Read ``path`` as one table.
@@ -27,8 +26,8 @@ def read_table(
     ``.csv`` files (or a folder of them, with ``format="csv"``) are read cell by cell: the
     header is the fullest of the first rows, rows above it are dropped, null tokens become
     NULL, blank columns go. Workbook extensions are tried as text, a common mislabelling.
-    ``.parquet`` and ``.json`` are already typed. In a folder every file may repeat the
-    header line of the first.
+    ``.parquet`` and ``.json`` are already typed. In a folder every file may have titles and
+    the header of the first file above its rows; a file without that header keeps all rows.
 
     ``multi_line`` allows line breaks inside quoted cells, at the price of one task per file.
     """
@@ -55,7 +54,7 @@ def read_table(
         raise TableError("The table has no rows.", "EMPTY_DATASET")
     if max_columns is not None and len(df.columns) > max_columns:
         raise TableError(f"{len(df.columns):,} columns, more than the limit of {max_columns:,}.", "TOO_MANY_COLUMNS")
-    return df if max_rows is None else df.limit(max_rows)
+    return df
 
 
 def _refuse_binary(spark: SparkSession, path: str) -> None:
@@ -90,24 +89,13 @@ def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFra
         raise TableError("No delimited columns were found.", "NO_TABULAR_DATA")
 
     cells = [f"c{i}" for i in range(width)]
-    head = _scan(spark, first, width, multi_line)
-    # rows of one file are numbered from 0 in its first block, where the header is
-    numbered = head.withColumn("_row", F.monotonically_increasing_id())
-    top = [
-        tuple(None if cell in NULL_TOKENS else cell for cell in row)
-        for row in numbered.where(F.col("_row") < SCAN_ROWS).select(*cells).collect()
-    ]
+    head = _scan(spark, first, width, multi_line).where(F.col("_metadata.file_block_start") == 0).select(*cells)
+    top = [tuple(None if cell in NULL_TOKENS else cell for cell in row) for row in head.limit(SCAN_ROWS).collect()]
     if not top:
         raise TableError("The table has no rows.", "EMPTY_DATASET")
     header_row = detect_header_row(top)
     header = list(top[header_row])
-    data = numbered.where(F.col("_row") > header_row).drop("_row")
-    if n_files > 1:
-        others = _scan(spark, path, width, multi_line).where(F.col("_metadata.file_path") != first)
-        repeated = F.lit(True)
-        for c, name in zip(cells, header):
-            repeated = repeated & null_tokens(F.col(c)).eqNullSafe(F.lit(name))
-        data = data.unionByName(others.where(~repeated))
+    data = _below_headers(_scan(spark, path, width, multi_line), cells, header)
 
     counts = _shape_check(data, cells)
     kept = [i for i, c in enumerate(cells) if counts.get(c)]
@@ -118,6 +106,27 @@ def _read_delimited(spark: SparkSession, path: str, multi_line: bool) -> DataFra
     return data.select(*values)
 
 
+def _below_headers(rows: DataFrame, cells: list[str], header: list[str | None]) -> DataFrame:
+    """The rows of every file below its header line.
+
+    A file's header is the first of its top rows that equals ``header``; it and what stands
+    above it go, and nothing else does. A file without one keeps all its rows.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("top"))
+    numbered = rows.select("*", place.alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    # compared as one array: a chain of 600 conditions is too deep for the planner
+    void = "\u0001"
+    is_header = F.array(*[F.coalesce(null_tokens(F.col(c)), F.lit(void)) for c in cells]) == F.array(*[F.lit(n or void) for n in header])
+    # one row per file; rows of a file's first block are numbered without gaps
+    files = (
+        numbered.where("_at.top").groupBy(F.col("_at.file").alias("_file"))
+        .agg(F.min("_row").alias("_start"), F.min(F.when(is_header, F.col("_row"))).alias("_header"))
+        .where(F.col("_header") < F.col("_start") + SCAN_ROWS).drop("_start")
+    )
+    above = F.col("_at.top") & (F.col("_row") <= F.coalesce("_header", F.lit(-1)))
+    return numbered.join(files, F.col("_at.file") == F.col("_file"), "left").where(~above).select(*cells, _CORRUPT)
+
+
 def _first_file(spark: SparkSession, path: str) -> tuple[str, int]:
     """The first non-empty file below ``path`` in name order, and how many there are."""
     try:
@@ -132,7 +141,7 @@ def _first_file(spark: SparkSession, path: str) -> tuple[str, int]:
 
 
 def _shape_check(data: DataFrame, cells: list[str]) -> dict[str, int]:
-    """Filled cells per column, and rejection of records with too many fields; one scan.
+    """Filled cells per column, and rejection of records with too many fields; one scan per batch of columns.
 
     Short records are padded with nulls. Both kinds are flagged by the reader, so the fields
     of flagged records are counted, quoted parts left out.
@@ -140,9 +149,10 @@ def _shape_check(data: DataFrame, cells: list[str]) -> dict[str, int]:
     outside_quotes = F.regexp_replace(_CORRUPT, r'"([^"]|"")*"', "")
     n_fields = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
     too_long = F.col(_CORRUPT).isNotNull() & (n_fields > len(cells))
-    stacked = measures_long(data, {"": F.when(too_long, F.lit("1")), **{c: F.col(c) for c in cells}})
-    found = stacked.where(~F.col("value").isin(NULL_TOKENS)).groupBy("measure").agg(F.count("*").alias("n"))
-    counts = {r["measure"]: r["n"] for r in found.collect()}
+    counts: dict[str, int] = {}
+    for batch in batches(cells):
+        filled = [F.count_if(~F.col(c).isin(NULL_TOKENS)).alias(c) for c in batch]
+        counts.update(data.agg(*filled, F.count_if(too_long).alias("")).first().asDict())
     if counts.get(""):
         raise TableError(
             f"{counts['']:,} lines have more fields than the first line; this looks like a report, not a table.",
@@ -154,11 +164,13 @@ def _shape_check(data: DataFrame, cells: list[str]) -> dict[str, int]:
 def column_names(header: list[str | None]) -> list[str]:
     """Blank names become ``Column {position}``; repeated names get a number."""
     names: list[str] = []
+    taken: set[str] = set()
     for i, cell in enumerate(header):
         name = cell.lstrip("﻿") if cell and cell.strip() else f"Column {i + 1}"
         unique, k = name, 2
-        while unique in names:
+        while unique in taken:
             unique, k = f"{name} ({k})", k + 1
         names.append(unique)
+        taken.add(unique)
     return names
 
