@@ -29,8 +29,8 @@ def test_blank_and_repeated_names(spark, text_file):
 
 
 def test_null_tokens_but_not_dashes(spark, text_file):
-    df = read_table(spark, text_file("currency.csv", fixtures.CURRENCY))
-    counts = df.agg(F.count("Discount"), F.count_if(F.col("Discount") == "-"), F.count_if(F.col("Price") == "$1,200.50")).first()
+    df = read_table(spark, text_file("currency.csv", fixtures.PRICES))
+    counts = df.agg(F.count("Rebate"), F.count_if(F.col("Rebate") == "-"), F.count_if(F.col("Cost") == "$2,750.25")).first()
     assert tuple(counts) == (40, 10, 10)
 
 

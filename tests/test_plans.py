@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,24 +26,29 @@ def kinds(charts):
 
 
 def test_sales_dashboard(table):
-    a = dashboard.analyze(table(fixtures.SALES))
+    a = dashboard.analyze(table(fixtures.TOURS))
     assert kinds(a.charts) == {"summary_card": 3, "line": 2, "bar": 6, "histogram": 3, "pie": 2}
     line = next(c for c in a.charts if c["type"] == "line")
-    assert [p["value"] for p in line["points"]] == [6, 6, 6, 3, 8, 4, 7, 1]
-    assert line["stat_summary"].startswith("Down 83% from 2024-01-01/2024-01-07")
-    assert "Peak: 2024-01-29/2024-02-04 (8)." in line["stat_summary"]
+    weeks = {}
+    for day, _, _, qty, *_ in (row.split(",") for row in fixtures.TOURS[1:]):
+        moment = datetime.strptime(day, "%m/%d/%Y")
+        weeks[moment - timedelta(days=moment.weekday())] = weeks.get(moment - timedelta(days=moment.weekday()), 0) + int(qty)
+    values = [weeks[w] for w in sorted(weeks)]
+    assert [p["value"] for p in line["points"]] == values
+    change = round((values[-1] / values[0] - 1) * 100)
+    assert line["stat_summary"].startswith(f"2023-05-01/2023-05-07 - 2023-06-26/2023-07-02: {change:+} percent; high point ")
     assert a.quality["duplicate_entities"] == {}
     assert dashboard.headline(a.charts)["title"] == "Total"
     assert dashboard.trend_of(a.charts, "Qty") is line and dashboard.trend_of(a.charts, "Total") is None
-    assert a.overview["date_range"] == {"min": "2024-01-03", "max": "2024-02-22"}
+    assert a.overview["date_range"] == {"min": "2023-05-01", "max": "2023-06-30"}
     assert len(dashboard.insights(a.charts)) == 13
-    row = a.records.where(F.col("Notes") == "rush order").first()
-    assert (row["Date"], row["Qty"], row["Price"]) == ("2024-01-05", 1.0, 45.0)
+    row = a.records.where(F.col("Notes") == "late pickup").first()
+    assert (row["Date"], row["Qty"], row["Price"]) == ("2023-05-13", 4.0, 18.5)
     assert a.charts_df().count() == 16
 
 
 def test_grades_dashboard(table):
-    a = dashboard.analyze(table(fixtures.GRADES))
+    a = dashboard.analyze(table(fixtures.RUNS))
     assert kinds(a.charts) == {"summary_card": 1, "histogram": 1, "pie": 2}
     assert dashboard.headline(a.charts)["title"] == "Score"
 
@@ -50,30 +57,30 @@ def test_constant_table(table):
     a = dashboard.analyze(table(fixtures.SAME))
     assert kinds(a.charts) == {"summary_card": 1, "histogram": 1}
     assert a.quality["duplicate_rows"] == 29
-    assert next(c for c in a.charts if c["type"] == "histogram")["bins"] == [{"bin": "100", "count": 30}]
+    assert next(c for c in a.charts if c["type"] == "histogram")["bins"] == [{"bin": "25", "count": 30}]
 
 
 def test_categories_without_measures_are_counted(table):
-    a = dashboard.analyze(table(fixtures.CURRENCY))
+    a = dashboard.analyze(table(fixtures.PRICES))
     bars = [c for c in a.charts if c["type"] == "bar"]
-    assert [b["title"] for b in bars] == ["Count by Product", "Count by Price", "Count by Discount"]
-    assert bars[0]["bars"][0] == {"category": "Doohickey", "value": 10.0}
+    assert [b["title"] for b in bars] == ["Count by Part", "Count by Cost", "Count by Rebate"]
+    assert bars[0]["bars"][0] == {"category": "Bolt", "value": 10.0}
 
 
 def test_many_measures_are_capped(table):
-    few = [",".join(line.split(",")[:30]) for line in fixtures.MANY]
+    few = [",".join(line.split(",")[:30]) for line in fixtures.WIDE]
     assert kinds(dashboard.analyze(table(few)).charts) == {"summary_card": 6, "histogram": 3}
 
 
 def test_review_overrides_and_about(table):
-    df = table(fixtures.SALES)
+    df = table(fixtures.TOURS)
     a = dashboard.analyze(
         df, overrides={"Qty": {"type": "numeric_measure", "agg_kind": "sum"}},
         reviewed={"Qty": {"agg_kind": "average", "label": "Pieces"}, "Price": {"agg_kind": "average"}},
-        about="Sales of a shop.",
+        about="Bookings of a guide.",
     )
     assert (a.profile.columns["Qty"]["agg_kind"], a.profile.columns["Price"]["agg_kind"]) == ("sum", "average")
-    assert a.labels["Qty"] == "Pieces" and a.corrected == ["Qty"] and a.about == "15 rows. Sales of a shop."
+    assert a.labels["Qty"] == "Pieces" and a.corrected == ["Qty"] and a.about == "16 rows. Bookings of a guide."
     assert dashboard.guard_row_count("All 1,500 rows", 1500) == "All 1,500 rows"
     titles = [c["title"] for c in a.charts if c["type"] == "bar"]
     assert "Pieces by Item" in titles and "Average Price by Item" in titles
@@ -151,7 +158,7 @@ def test_bad_specs_are_refused(spark, bad, code):
 
 
 def test_exposed_columns(table):
-    assert spec.exposed_columns(profile(table(fixtures.SAME))) == ["Amount"]
+    assert spec.exposed_columns(profile(table(fixtures.SAME))) == ["Seats"]
 
 
 def test_records_drop_long_text_and_keep_nulls(spark, tmp_path):
@@ -219,6 +226,6 @@ def test_activity_stream_continues_where_it_stopped(spark, tmp_path):
 
 
 def test_staged_table_is_the_same(spark, table):
-    df = table(fixtures.MISSING)
+    df = table(fixtures.GAPS)
     copy = records.staged(df)
     assert copy.columns == df.columns and copy.exceptAll(df).count() == 0 and copy.count() == 120
