@@ -131,3 +131,51 @@ def clean(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
     made = {text: F.col("r.__clean")} | ({size: F.length("r.__clean").cast("long")} if size in docs.columns else {})
     kinds = dict(docs.dtypes)
     return passed.select(*[(made[c].cast(kinds[c]) if c in made else F.col("r.__row")[c]).alias(c) for c in docs.columns])
+
+
+def reference_sql() -> str:
+    """The result of :func:`judge` on ``documents``, in DuckDB SQL."""
+    closing, space = CLOSING.replace("'", "''"), r"[\x20\x09-\x0D]+"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, [x FOR x IN regexp_split_to_array(t, '{space}') IF x <> ''] AS ws,
+         length(regexp_replace(t, '{space}', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols
+  FROM d
+),
+windows AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS pos, ws FROM w WHERE len(ws) >= {WINDOW}),
+told AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[pos:pos + {WINDOW - 1}], ' ')) AS n FROM windows),
+repeated AS (
+  SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM told, range({WINDOW}) AS r(k) WHERE n > 1 GROUP BY doc_id
+),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+facts AS (
+  SELECT doc_id, l, length(regexp_replace(l, '{space}', '', 'g')) AS chars, rtrim(l, ' ') AS solid, length(l) AS size,
+         length(l) - length(regexp_replace(l, '{SYMBOLS}', '', 'g')) AS symbols, length(l) - length(replace(l, ' ', '')) AS spaces,
+         len(regexp_extract_all(l, '{SEPARATED}')) AS separators, len(regexp_extract_all(l, '{SHOUT}')) AS shouts
+  FROM lines
+),
+judged AS (
+  SELECT doc_id, l, chars, solid <> '' AND (
+    (size < {SHORT_LINE} AND NOT contains('{closing}', right(solid, 1))) OR 10 * symbols >= size
+    OR ((contains(l, '!!') OR contains(l, '??')) AND shouts >= 3)
+    OR (separators >= 3 AND 4 * separators >= spaces - separators)
+    OR (size < {BOILERPLATE_LINE} AND regexp_matches(l, '{BOILERPLATE}'))) AS failed
+  FROM facts
+),
+kept AS (
+  SELECT doc_id, coalesce(sum(chars) FILTER (WHERE NOT failed), 0) AS kept_chars,
+         count(*) FILTER (WHERE chars > 0) - count(DISTINCT l) FILTER (WHERE chars > 0) AS n_dup_lines
+  FROM judged GROUP BY doc_id
+),
+f AS (
+  SELECT doc_id, len(ws) AS n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, kept_chars,
+         len(ws) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {REPEAT_PERCENT} * len(ws) AS base_failed
+  FROM w JOIN kept USING (doc_id) LEFT JOIN repeated USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * kept_chars >= {KEEP_PERCENT} * word_chars AS kept,
+       CAST(100 * kept_chars AS DOUBLE) / greatest(word_chars, 1) AS kept_percent
+FROM f
+"""

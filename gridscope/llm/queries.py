@@ -16,7 +16,7 @@ from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import crc_share, staged, table
 from gridscope.llm.jaccard_join import near_duplicates
 from gridscope.llm.packing import pack, pieces_of
-from gridscope.llm.quality_rules import judge
+from gridscope.llm.quality_rules import judge, reference_sql
 from gridscope.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,34 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SQL["op1_quality_rules"] = reference_sql()
+
+SQL["op3_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)])
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS members
+  FROM w
+),
+e AS (SELECT doc_id, len(members) AS n, unnest(members) AS m FROM s),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e AS a JOIN e AS b ON a.m = b.m AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, b.y FROM reach AS r JOIN both_ways AS b ON b.x = r.other
+)
+SELECT s.doc_id, len(s.members) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) AS c USING (doc_id)
+"""
+
 SQL["op9_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS s FROM documents
