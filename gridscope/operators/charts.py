@@ -157,7 +157,7 @@ def histograms(
     single = F.col("v_min") == F.col("v_max")
     place = F.greatest(F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0))
     counts = (
-        attach(rows, ranges, ["measure"], found.groups, "value")
+        attach(rows, ranges, ["measure"], found.groups)
         .groupBy("measure", F.when(single, 0).otherwise(place).cast("int").alias("bin"))
         .agg(F.count("*").alias("count"))
     )

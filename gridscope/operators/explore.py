@@ -88,16 +88,18 @@ def scatter_points(
 def hash_sample(df: DataFrame, n: int, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
     """``n`` rows chosen by a seeded hash of ``key`` (all columns by default).
 
-    The same rows come back whatever the partitioning. Every row draws a number from its
-    hash; those well below the wanted share are in, those well above are out, and only the
-    narrow band between is ranked. Tables of at most ``n`` rows come back whole.
+    The same rows come back whatever the partitioning: those whose MD5 of seed and key
+    (texts, parted by ``|``) starts lowest, ties by the whole row. Rows well below the wanted
+    share are in, those well above are out, and only the narrow band between is ranked.
+    Tables of at most ``n`` rows come back whole.
     """
     total = df.count()
     if total <= n:
         return df
     columns = [F.col(quoted(c)) for c in (key or df.columns)]
-    # the seed goes first, so that it changes every hash
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(2**53))).alias("_u")
+    texts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary")), 1, 13)
+    draw = (F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))).alias("_u")
     drawn = df.select("*", draw)
     share = n / total
     margin = 6 * math.sqrt(share / total)
@@ -112,5 +114,5 @@ def hash_sample(df: DataFrame, n: int, seed: int = SEED, key: list[str] | None =
             break
     sure = drawn.where(F.col("_u") < low)
     band = drawn.where((F.col("_u") >= low) & (F.col("_u") < high))
-    edge = band.orderBy("_u", *[quoted(c) for c in (key or [])]).limit(n - seen.sure)
+    edge = band.orderBy("_u", *[quoted(c) for c in [*(key or []), *df.columns]]).limit(n - seen.sure)
     return sure.unionByName(edge).drop("_u")

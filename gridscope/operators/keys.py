@@ -36,18 +36,19 @@ def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.unhex(F.sha2(F.concat(*cells), 256))
 
 
-def attach(rows: DataFrame, facts: DataFrame, by: Sequence[str], n_facts: int, spread_on: str) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, by: Sequence[str], n_facts: int) -> DataFrame:
     """Join per-group ``facts`` to ``rows`` on ``by``.
 
     ``n_facts`` is the counted number of fact rows. A short fact table is broadcast. A
     long one is repeated over :data:`SALTS` salts while each row takes one salt from its
-    ``spread_on`` value, so the rows of one hot group meet their facts in many tasks.
+    place in its task, so the rows of one hot group meet their facts in many tasks, also if
+    they are all alike.
     """
     if n_facts <= BROADCAST_ROWS:
         return rows.join(F.broadcast(facts), list(by))
     salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(quoted(spread_on)), F.lit(SALTS)).cast("int"))
+        rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         .join(salted, [*by, "_salt"])
         .drop("_salt")
     )

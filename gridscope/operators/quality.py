@@ -117,7 +117,7 @@ def outlier_report(
     found = spread or robust.measured_spread(rows)
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
     return (
-        attach(rows, usable, ["measure"], found.groups, "value")
+        attach(rows, usable, ["measure"], found.groups)
         .groupBy("measure")
         .agg(
             F.count_if(robust.outside(robust.FLAG)).alias("n_outliers"),
@@ -142,7 +142,7 @@ def outlier_examples(
     rows = _measure_rows(df, columns)
     found = spread or robust.measured_spread(rows)
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
-    far = attach(rows, usable, ["measure"], found.groups, "value").where(robust.outside(robust.FLAG))
+    far = attach(rows, usable, ["measure"], found.groups).where(robust.outside(robust.FLAG))
     order = Window.partitionBy("measure").orderBy(F.desc(F.abs(F.col("value") - F.col("q2"))), F.asc("value"))
     return (
         far.withColumn("rank", F.row_number().over(order))

@@ -77,7 +77,7 @@ def trimmed_stats(
 ) -> DataFrame:
     """Per group: the spread plus ``total``, ``mean``, ``trimmed_mean``, ``n_extreme``."""
     found = spread(rows, by, known)
-    joined = attach(rows, found.frame, by, found.groups, "value")
+    joined = attach(rows, found.frame, by, found.groups)
     stats = ["n", "v_min", "v_max", "q1", "q2", "q3"]
     return (
         joined.groupBy(*by)

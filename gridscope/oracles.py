@@ -366,6 +366,9 @@ select n, round(r, 6) r, round(slope, 6) slope, round(intercept, 2) intercept,
    (case when abs(r) < 0.2 then '' when r > 0 then ', rising together' else ', one rising as the other falls' end) ||
    ' (correlation ' || format('{:.2f}', r) || ').' as statement
 from f"""
+SQL["sample_hash"] = """
+select * from orders order by substr(md5('42|' || o_orderkey), 1, 13), o_orderkey
+limit (select greatest(1, count(*) // 4) from orders)"""
 SQL["scatter_systematic"] = """
 with o as (select row_number() over (order by o_orderkey) - 1 as "row", cast(o_custkey as double) x, o_totalprice y,
    count(*) over () n from orders)

@@ -39,9 +39,12 @@ def daily_activity_stream(
     return windows.agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), *by, "n")
 
 
-def start_daily_activity(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def start_daily_activity(counts: DataFrame, table: str, checkpoint: str, **trigger: str | bool) -> StreamingQuery:
     """Keep ``table`` (Parquet) at the newest count of every day seen in new files.
 
+    ``trigger`` is Spark's, such as ``processingTime="1 minute"`` for a stream that keeps
+    running; by default what is there now is read once.
+
     Each micro-batch writes the days it changed under its own number, so that a repeated
     batch after a failure replaces itself; :func:`read_daily_activity` merges them.
     """
@@ -50,7 +53,7 @@ def start_daily_activity(counts: DataFrame, table: str, checkpoint: str) -> Stre
 
     return (
         counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(save).start()
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
     )
 
 

@@ -199,8 +199,13 @@ def test_event_log(spark, tmp_path):
     path = str(tmp_path / "log")
     now = spark.createDataFrame([("upload_succeeded", 1704067200.5), ("upload_succeeded", 1704153600.0), ("other", 1704153600.0)], "event_type string, ts double")
     eventlog.append_events(now, path)
-    iso = spark.createDataFrame([("upload_succeeded", "2024-01-02T23:00:00"), ("upload_succeeded", None)], "event_type string, ts string")
+    iso = spark.createDataFrame([("upload_succeeded", "2024-01-02T23:00:00")], "event_type string, ts string")
     eventlog.append_events(iso, path)
+    before = datetime.now().timestamp()
+    eventlog.append_events(spark.createDataFrame([("stamped",)], "event_type string"), path)
+    stamped = eventlog.read_events(spark, path, "stamped").first()
+    assert before - 60 < float(stamped["ts"]) < before + 600 and len(stamped["id"]) == 36
+    iso.withColumn("ts", F.lit(None).cast("string")).write.mode("append").json(path)
     (tmp_path / "log" / "broken.json").write_text("{not json\n")
     events = eventlog.read_events(spark, path)
     moment = eventlog.moment_of(F.col("ts"))
