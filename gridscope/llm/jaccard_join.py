@@ -174,16 +174,17 @@ def shingled(docs: DataFrame, key: str, text: str, size: int, percent: int, chun
     )
 
 
-def candidate(x: str, y: str, percent: int) -> Column:
-    """Length and positional filter of a pair under a shared shingle; ``x`` is the one with fewer members.
+def in_index(n: Column, pos: Column, percent: int) -> Column:
+    """Whether a place belongs to the shorter, indexed prefix, which a set meets larger ones with."""
+    return pos < n - overlap_needed(F.lit(2) * n, percent) + 1
 
-    The smaller set's shingle must stand in its shorter, indexed prefix.
-    """
+
+def candidate(x: str, y: str, percent: int) -> Column:
+    """Length and positional filter of a pair under a shared shingle; ``x`` is the one with fewer members."""
     nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-    needed = overlap_needed(nx + ny, percent)
     return (
-        (F.lit(100) * nx >= F.lit(percent) * ny) & (px < nx - overlap_needed(F.lit(2) * nx, percent) + 1)
-        & (F.least(nx - px, ny - py) >= needed)
+        (F.lit(100) * nx >= F.lit(percent) * ny) & in_index(nx, px, percent)
+        & (F.least(nx - px, ny - py) >= overlap_needed(nx + ny, percent))
     )
 
 
@@ -239,30 +240,30 @@ def near_duplicates(
         F.col("e.token").alias("token"), F.struct("n", "row", F.col("e.pos").alias("pos")).alias("p"),
         F.ceil(F.pow(F.lit(2.0), F.col("e.rarity") / 8) / F.lit(block)).cast("int").alias("blocks"),
     )
-    # A token that many documents hold is dealt into blocks, by the number of its documents.
+    # A token that many documents hold is dealt into blocks, by the number of its documents. In
+    # a block, the shingle's place in its document comes first: the one with the fewest rarer
+    # shingles is the likeliest centre of a group of near copies.
     dealt = entries.withColumn("block", F.pmod(F.xxhash64("p.row"), F.col("blocks")))
-    under = Window.partitionBy("token", "block").orderBy("p")
+    under = Window.partitionBy("token", "block").orderBy("p.pos", "p.n", "p.row")
     beside = dealt.withColumn("before", F.lag("p").over(under)).withColumn("top", F.first("p").over(under))
     near = beside.where("before is not null").select("p", F.explode(F.array("before", "top")).alias("q"))
     members = sets.select("row", "members")
     links = verified(_ordered_pairs(near, percent), members, percent)
     roots = staged(components(links), "roots")
-    # What shares a token but no component yet is compared pair by pair.
+    # What shares a token but no component yet is compared pair by pair. The filters are part
+    # of the join, so that only candidates leave it.
     held = (
         dealt.join(roots.withColumnRenamed("row", "r"), F.col("p.row") == F.col("r"), "left")
         .select("token", "p", F.coalesce("root", "p.row").alias("root"))
     )
-    mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    grouped = staged(
-        held.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("p.row"), F.ceil(F.col("m") / F.lit(256))))
-        .groupBy("token", "root", "block").agg(F.collect_list("p").alias("ps")),
-        "mixed",
-    )
-    other = grouped.select("token", F.col("root").alias("other"), F.col("ps").alias("qs"))
-    apart = (
-        grouped.join(other, "token").where("root < other").select(F.explode("ps").alias("p"), "qs").select("p", F.explode("qs").alias("q"))
-    )
-    more = verified(_ordered_pairs(apart, percent), members, percent)
+    mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    held = staged(held.join(mixed, "token", "left_semi"), "mixed")
+    smaller = held.select("token", F.col("p").alias("x"), F.col("root").alias("x_root"))
+    smaller = smaller.where(in_index(F.col("x.n"), F.col("x.pos"), percent))
+    larger = held.select("token", F.col("p").alias("y"), F.col("root").alias("y_root"))
+    apart = smaller.join(larger, (smaller["token"] == larger["token"]) & F.expr("x_root <> y_root and x < y") & candidate("x", "y", percent))
+    pairs = apart.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    more = verified(pairs, members, percent)
     roots = staged(components(roots.select(F.col("row").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     rooted = staged(
         classes.join(roots.withColumnRenamed("row", "first"), "first", "left")
