@@ -18,10 +18,9 @@ import duckdb
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from gridscope.llm.common import column_of, slices
+from gridscope.llm.common import column_of, local_file, slices
 
 #: A word longer than this many bytes has as many states as bytes, which a recursive query
 #: keeps all; such words go through the library that sets the result.
@@ -148,11 +147,6 @@ def coder(rank_path: str, pattern: str) -> WordCoder:
     return WordCoder(rank_path, pattern)
 
 
-def local_file(path: str) -> str:
-    """A file that Spark has sent to every node, or one that is installed there."""
-    return SparkFiles.get(path[len("sent:"):]) if path.startswith("sent:") else path
-
-
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids, decoded`` of every row: ids as decimal text parted by spaces, and their bytes.
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridscope.session import scratch_path
@@ -38,6 +39,11 @@ def crc_share(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(parts)
 
 
+def local_file(path: str) -> str:
+    """A file that Spark has sent to every node (``sent:NAME``), or one that is installed there."""
+    return SparkFiles.get(path[len("sent:"):]) if path.startswith("sent:") else path
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -56,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
                 start, held = k, 0
             held += int(size)
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def rows_with(docs: DataFrame, marks: DataFrame, on: dict[str, Column], key: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from gridscope.llm.common import column_of, crc_share, slices
 
@@ -198,23 +199,18 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     its language and are rejected. Other columns pass through, whatever their names; columns
     named like the three results are replaced. Texts are read whole.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_rejected")]
+    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_rejected")])
     frozen = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    loaded: dict[str, LanguageModel] = {}
-
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        if "model" not in loaded:
-            loaded["model"] = pickle.loads(frozen.value)
-        found = [predict(loaded["model"], t) for t in texts]
-        return pd.DataFrame(found, columns=["lang", "score", "rejected"])
-
-    # The language is looked up once per row; only the text travels to Python beside the kept columns.
-    told = docs.select(*kept, guess(F.col(text)).alias("__told"))
-    return told.select(
-        *kept, F.col("__told.lang").alias("lang_pred"), F.col("__told.score").alias("score"),
-        F.col("__told.rejected").alias("lang_rejected"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(frozen.value)
+        for batch in slices(batches, text, 4 << 20):
+            lang, score, rejected = zip(*[predict(own, t) for t in column_of(batch, text)], strict=True)
+            told = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([bool(r) for r in rejected], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, "lang_pred", "score", "lang_rejected"])
+
+    fields = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double").add("lang_rejected", "boolean")
+    return kept.mapInArrow(run, fields)
 
 
 def held_out(key: str = "doc_id", parts: int = 3) -> Column:

@@ -23,15 +23,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridscope.llm.bpe import local_file
-from gridscope.llm.common import column_of, slices, staged
+from gridscope.llm.common import column_of, local_file, slices, staged
 
 #: The white space of Unicode, as a character class.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Byte-level BPE never merges across these borders, so ids can be looked up chunk by chunk.
 CHUNK = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
 #: Chunks a worker remembers and their characters, and the bytes of text handled at once.
-CACHE_CHUNKS, CACHE_CHARS, SLICE_BYTES = 1_200_000, 32_000_000, 8 << 20
+CACHE_CHUNKS, CACHE_CHARS, SLICE_BYTES = 800_000, 24_000_000, 6 << 20
 
 Bins = list[tuple[int, list[int]]]
 
