@@ -31,6 +31,8 @@ from gridscope.session import scratch_path
 BEGIN, END = b" begin", b" end"
 #: Tokens that a task counts before it sends what it has.
 FLUSH_TOKENS = 3_000_000
+#: Bytes of text scored at once.
+SCORE_BYTES = 6 << 20
 #: What a part keeps of its words, each in a file of its own.
 WORD = {"hash": "<u8", "n": "<u8", "before": "<u4", "once": "<u4", "twice": "<u4", "more": "<u4"}
 
@@ -344,7 +346,7 @@ def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lookup(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCORE_BYTES):
             n, known, base, total = zip(*own.score(column_of(batch, "text")), strict=True)
             perplexity = [10.0 ** min(300.0, -s / k) for s, k in zip(total, n, strict=True)]
             yield pa.RecordBatch.from_arrays(
