@@ -3,6 +3,9 @@
 The first pass parts a page into blocks and decides those that are clear: by the container
 they stand in, by link density, and by length and stop-word density. The second pass lets the
 undecided short blocks inherit the label of the nearest decided block before and after them.
+
+What the words of a class or id say is held against the page's prose: containers that would
+throw it away, or keep only a small part of it, are not believed.
 """
 
 from __future__ import annotations
@@ -42,6 +45,17 @@ BAD_WORDS = frozenset(
     " complementary contentinfo form dialog alertdialog".split()
 )
 MAIN_WORDS = frozenset("article articlebody body content entry hentry main maincontent post story text".split())
+#: Words of containers whose long texts are no main text; the others give way to a long block.
+FIRM_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising captcha comment comments consent cookie cookies copyright disclaimer"
+    " discussion disqus foot footer gdpr menu menubar modal nav navbar navigation navi newsletter pager pagination paywall popup promo"
+    " promotion promoted recommended related replies reply respond reviews sidebar signin signup sponsor sponsored subscribe subscription"
+    " complementary contentinfo form dialog alertdialog".split()
+)
+#: Elements that a word can mark as the main container.
+CONTAINERS = frozenset("article main section div td".split())
+#: Classes that tell a state, a subject or a framework, not a role.
+_STATE = re.compile(r"(?:has|with|without|no|tag|category|cat|comments|ping)[-_](?!(?:list|area|section|wrapper|container|form|links?|cloud|box|block)\b)[\w-]+|elementor-widget[\w-]*", re.I)
 
 #: Frequent words of several languages.
 STOP_WORDS = frozenset(
@@ -67,17 +81,31 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Block:
-    """A run of text between block elements; ``inside`` is the label of its nearest marked container."""
+    """A run of text between block elements; ``inside`` is the label of its nearest marked container.
+
+    ``doubted`` are the containers around it that only a word makes bad: their number in the
+    page, and whether the word is firm. None if an element or an attribute makes it bad.
+    """
 
     text: str
     link_chars: int
     inside: int
     heading: bool
+    doubted: tuple[tuple[int, bool], ...] | None = ()
     label: int = OPEN
 
 
+def bad_words(tag: str, attributes: str, within: int) -> set[str]:
+    """Words in class, id or role that make a container bad."""
+    if not attributes or tag in ("body", "html"):
+        return set()
+    told = (token for found in _MARK.findall(attributes) for token in "".join(found).split())
+    words = {w for token in told if not _STATE.fullmatch(token) for w in _WORD.findall(_CAMEL.sub(" ", token).lower())} & BAD_WORDS
+    return set() if within == GOOD and words <= {"head", "header"} else words
+
+
 def container_label(tag: str, attributes: str, within: int) -> int | None:
-    """What a container says about its blocks, or None if it says nothing."""
+    """What a container says about its blocks, but for bad words, or None if it says nothing."""
     if tag in BAD_ELEMENTS:
         # The header of an article holds its title; that of a page holds its menu.
         return None if tag == "header" and within == GOOD else BAD
@@ -87,16 +115,18 @@ def container_label(tag: str, attributes: str, within: int) -> int | None:
         words = {
             w for found in _MARK.findall(attributes) for w in _WORD.findall(_CAMEL.sub(" ", "".join(found)).lower())
         }
-        if tag not in ("body", "html") and words & BAD_WORDS and not (within == GOOD and words & BAD_WORDS <= {"head", "header"}):
-            return BAD
-        if tag in BLOCKS and words & MAIN_WORDS and within != BAD:
+        if tag in CONTAINERS and words & MAIN_WORDS and within != BAD:
             return GOOD
     return GOOD if tag in MAIN_ELEMENTS and within != BAD else None
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed and stray tags are tolerated."""
-    stack: list[tuple[str, int]] = []
+def blocks_of(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
+    """The blocks of a page in order. Unclosed and stray tags are tolerated.
+
+    Bad words of containers whose numbers are ``trusted`` say nothing.
+    """
+    stack: list[tuple[str, int, tuple[tuple[int, bool], ...] | None]] = []
+    number = 0
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
     links = 0
@@ -109,7 +139,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(p for p, in_link in parts if in_link)).split()))
-                found.append(Block(text, linked, inside(), any(t[0] == "h" and t[1:].isdigit() for t, _ in stack[-2:])))
+                heading = any(t[0] == "h" and t[1:].isdigit() for t, *_ in stack[-2:])
+                found.append(Block(text, linked, inside(), heading, stack[-1][2] if stack else ()))
             parts.clear()
 
     def close(tag: str) -> None:
@@ -135,7 +166,7 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "br":
             parts.append((" ", links > 0))
         if token["end"]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 flush()
                 close(tag)
         elif tag not in VOID and not rest.endswith("/"):
@@ -143,30 +174,74 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             elif tag in BLOCKS and stack and stack[-1][0] == "p":
                 stack.pop()
-            said = container_label(tag, rest, inside())
+            number += 1
+            said, doubted = container_label(tag, rest, inside()), stack[-1][2] if stack else ()
+            if said == BAD:
+                doubted = None
+            elif number not in trusted and (words := bad_words(tag, rest, inside())):
+                said, doubted = BAD, None if doubted is None else (*doubted, (number, bool(words & FIRM_WORDS)))
             if tag in BLOCKS or said is not None:
                 if said is not None:
                     flush()
-                stack.append((tag, inside() if said is None else said))
+                stack.append((tag, inside() if said is None else said, doubted))
     if at < len(page):
         parts.append((page[at:], links > 0))
     flush()
     return found
 
 
-def first_pass(block: Block) -> int:
-    """Label of a block by its container, links, length and stop words; OPEN if none decides."""
-    if block.inside:
-        return block.inside
+def by_text(block: Block) -> int:
+    """Label of a block by its links, length and stop words; OPEN if none decides."""
     words = block.text.lower().split()
     if block.link_chars > LINK_SHARE * len(block.text) or "\N{COPYRIGHT SIGN}" in block.text:
         return BAD
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
+    if len(words) < SHORT_WORDS:
+        return OPEN
+    fluent = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
     if len(words) >= LONG_WORDS:
-        return GOOD if stops >= STOP_SHARE * len(words) or not block.link_chars else OPEN
-    if len(words) >= SHORT_WORDS and stops >= STOP_SHARE * len(words) and not block.link_chars:
-        return GOOD
-    return OPEN
+        return GOOD if fluent or not block.link_chars else OPEN
+    return GOOD if fluent and not block.link_chars else OPEN
+
+
+def first_pass(blocks: list[Block]) -> None:
+    """Labels by container, links, length and stop words; OPEN if none decides.
+
+    Where containers mark most of the page's prose as the article, only blocks in them count.
+    """
+    own = [by_text(b) for b in blocks]
+    read = [(b, len(b.text)) for b, label in zip(blocks, own, strict=True) if label == GOOD and b.inside != BAD]
+    read = read or [(b, len(b.text)) for b, label in zip(blocks, own, strict=True) if label == OPEN and b.inside != BAD and not b.heading]
+    held = sum(n for b, n in read if b.inside == GOOD)
+    marked = any(b.inside == GOOD for b in blocks) and 2 * held >= sum(n for _, n in read)
+    for block, label in zip(blocks, own, strict=True):
+        if block.inside == BAD or marked and block.inside == GOOD:
+            block.label = block.inside
+        elif block.inside == GOOD:
+            block.label = label or GOOD
+        else:
+            block.label = BAD if marked and not block.heading else label
+
+
+def believed(page: str) -> list[Block]:
+    """The blocks of a page, without the bad words that its prose speaks against.
+
+    A word that is not firm gives way to a long block of prose; a firm one only if no article
+    is marked and its container holds all prose and all but a few words of the rest.
+    """
+    trusted: frozenset[int] = frozenset()
+    while True:
+        blocks = blocks_of(page, trusted)
+        prose = [b for b in blocks if b.doubted is not None and by_text(b) == GOOD]
+        wrong = {
+            k for b in prose if b.doubted and len(b.text.split()) >= LONG_WORDS and not any(firm for _, firm in b.doubted) for k, _ in b.doubted
+        }
+        if prose and not any(b.inside == GOOD for b in blocks):
+            rest = [b for b in blocks if b.doubted is not None and not b.heading and by_text(b) == OPEN]
+            around = set(prose[0].doubted).intersection(*[b.doubted for b in prose[1:]])
+            wrong |= {k for k, firm in around if sum(len(b.text.split()) for b in rest if (k, firm) not in b.doubted) < SHORT_WORDS}
+        if not wrong:
+            return blocks
+        trusted |= wrong
 
 
 def second_pass(blocks: list[Block]) -> None:
@@ -202,10 +277,8 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    blocks = blocks_of(page)
-    marked = any(b.inside == GOOD for b in blocks)
-    for block in blocks:
-        block.label = BAD if marked and block.inside == OPEN and not block.heading else first_pass(block)
+    blocks = believed(page)
+    first_pass(blocks)
     second_pass(blocks)
     return "\n\n".join(b.text for b in blocks if b.label == GOOD)
 

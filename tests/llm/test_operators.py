@@ -386,6 +386,25 @@ def test_html_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = f"{PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div><h1 class='post-title'>T</h1><p>{LONG}</p><p>{PROSE}</p></div>", f"T\n\n{LONG}\n\n{PROSE}"),
+    (f"<div><p>{LONG}</p><p class='text'>{PROSE}</p><p>{PROSE}</p></div>", f"{LONG}\n\n{PROSE}\n\n{PROSE}"),
+    (f"<div class='story'><p>{PROSE}</p></div><p>{LONG}</p><p>{LONG}</p>", f"{PROSE}\n\n{LONG}\n\n{LONG}"),
+    (f"<div class='elementor-widget'><h2>H</h2></div><div class='elementor-widget'><p>{LONG}</p></div>", f"H\n\n{LONG}"),
+    (f"<div class='post tag-social'><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='category-legal'><p>{LONG}</p></div><footer>F</footer>", LONG),
+    (f"<div class='notice'><p>{LONG}</p><p>Short.</p></div>", f"{LONG}\n\nShort."),
+    (f"<div class='has-sidebar'><p>{PROSE}</p><div class='sidebar'><p>{LONG}</p></div></div>", PROSE),
+    (f"<div class='layout-sidebar-right'><p>{PROSE}</p><div class='comments'><p>{LONG}</p></div></div>", PROSE),
+    (f"<div class='ad'>{PROSE}</div><article><p>Short.</p></article>", "Short."),
+])
+def test_html_container_words(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     import html
