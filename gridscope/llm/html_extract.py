@@ -62,9 +62,26 @@ STOP_WORDS = frozenset(
     "the of and to in is that it for as was with be by on not he his are at this from or have an they which one you were all"
     " der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach"
     " de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son cette"
-    " el y los del las por con una para su al lo como más pero sus o este sí porque entre cuando muy sin sobre".split()
+    " el y los del las por con una para su al lo como más pero sus o este sí porque entre cuando muy sin sobre"
+    " il di che è non si per gli della nel alla sono anche ma più ha questo"
+    " os da em um uma não no na dos mais mas foi ao ele das tem à seu sua ou ser"
+    " het een van en op te dat niet zijn met voor er maar om hij ook bij aan was"
+    " w z się nie na że do jest jak po co ale od za przez był jego"
+    " и в не на что он с как это по но из у за от к о для так же был она они мы его"
+    " i och att det som på är av för den till med inte han om har ett var jeg ikke og"
+    " ve bir bu için da ile çok olarak daha gibi ne"
+    " και το του η της την με για από που δεν θα στο είναι"
+    " في من على إلى أن هذا التي الذي عن مع كان لا ما"
+    " है के में की से को का और यह पर ने हैं नहीं"
+    " của và là có trong được cho không một người".split()
 )
 
+#: Letters of scripts without spaces; about two of the first kind make a word, five of the second.
+_DENSE = re.compile(r"[\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+_LOOSE = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u0F00-\u0FFF]")
+#: A text that ends like a sentence.
+_SENTENCE = re.compile(r"[.!?…。！？．।॥۔؟።។៕။]['\"”’»)\]」』）]*$")
+
 LONG_WORDS, STOP_SHARE, LINK_SHARE, SHORT_WORDS = 30, 0.2, 0.5, 12
 
 _TOKEN = re.compile(
@@ -190,15 +207,25 @@ def blocks_of(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
     return found
 
 
+def size_of(text: str) -> tuple[float, bool]:
+    """Words of a text, those of scripts without spaces by their letters, and whether it is mostly in such a script."""
+    words = len(text.split())
+    if text.isascii():
+        return words, False
+    unspaced = len(_DENSE.findall(text)) / 2 + len(_LOOSE.findall(text)) / 5
+    return words + unspaced, unspaced > words
+
+
 def by_text(block: Block) -> int:
     """Label of a block by its links, length and stop words; OPEN if none decides."""
-    words = block.text.lower().split()
-    if block.link_chars > LINK_SHARE * len(block.text) or "\N{COPYRIGHT SIGN}" in block.text:
+    size, unspaced = size_of(block.text)
+    if block.link_chars > LINK_SHARE * len(block.text) or size < LONG_WORDS and "\N{COPYRIGHT SIGN}" in block.text:
         return BAD
-    if len(words) < SHORT_WORDS:
+    if size < SHORT_WORDS:
         return OPEN
-    fluent = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
-    if len(words) >= LONG_WORDS:
+    words = block.text.lower().split()
+    fluent = unspaced or sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
+    if size >= LONG_WORDS:
         return GOOD if fluent or not block.link_chars else OPEN
     return GOOD if fluent and not block.link_chars else OPEN
 
@@ -207,6 +234,8 @@ def first_pass(blocks: list[Block]) -> None:
     """Labels by container, links, length and stop words; OPEN if none decides.
 
     Where containers mark most of the page's prose as the article, only blocks in them count.
+    A page that leaves nothing good falls back to its undecided blocks that look like
+    sentences, or else, if they are more than a few words, to all of them.
     """
     own = [by_text(b) for b in blocks]
     read = [(b, len(b.text)) for b, label in zip(blocks, own, strict=True) if label == GOOD and b.inside != BAD]
@@ -220,6 +249,14 @@ def first_pass(blocks: list[Block]) -> None:
             block.label = label or GOOD
         else:
             block.label = BAD if marked and not block.heading else label
+    if any(b.label == GOOD for b in blocks):
+        return
+    left = [b for b in blocks if b.label == OPEN and not b.heading]
+    sentences = [b for b in left if _SENTENCE.search(b.text) or size_of(b.text)[0] >= SHORT_WORDS]
+    if not sentences and sum(size_of(b.text)[0] for b in left) >= SHORT_WORDS:
+        sentences = left
+    for block in sentences:
+        block.label = GOOD
 
 
 def believed(page: str) -> list[Block]:
@@ -233,12 +270,12 @@ def believed(page: str) -> list[Block]:
         blocks = blocks_of(page, trusted)
         prose = [b for b in blocks if b.doubted is not None and by_text(b) == GOOD]
         wrong = {
-            k for b in prose if b.doubted and len(b.text.split()) >= LONG_WORDS and not any(firm for _, firm in b.doubted) for k, _ in b.doubted
+            k for b in prose if b.doubted and size_of(b.text)[0] >= LONG_WORDS and not any(firm for _, firm in b.doubted) for k, _ in b.doubted
         }
         if prose and not any(b.inside == GOOD for b in blocks):
             rest = [b for b in blocks if b.doubted is not None and not b.heading and by_text(b) == OPEN]
             around = set(prose[0].doubted).intersection(*[b.doubted for b in prose[1:]])
-            wrong |= {k for k, firm in around if sum(len(b.text.split()) for b in rest if (k, firm) not in b.doubted) < SHORT_WORDS}
+            wrong |= {k for k, firm in around if sum(size_of(b.text)[0] for b in rest if (k, firm) not in b.doubted) < SHORT_WORDS}
         if not wrong:
             return blocks
         trusted |= wrong

@@ -387,6 +387,8 @@ def test_html_main_text(page, text):
 
 
 LONG = f"{PROSE} {PROSE}"
+CHINESE = "今天天气很好我们一起去公园散步看到了很多美丽的花朵" * 3 + "。"
+THAI = "วันนี้อากาศดีมากเราไปเดินเล่นในสวนสาธารณะ" * 6
 
 
 @pytest.mark.parametrize(("page", "text"), [
@@ -405,6 +407,18 @@ def test_html_container_words(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<nav><a href=/>首页</a></nav><p>{CHINESE}</p><p>短句。</p><footer>页脚</footer>", f"{CHINESE}\n\n短句。"),
+    (f"<nav><a href=/>x</a></nav><p>{THAI}</p><footer>f</footer>", THAI),
+    ("<nav><a href=/>Home</a></nav><p>He came home.</p><p>She left early.</p><footer>End</footer>", "He came home.\n\nShe left early."),
+    ("<nav><a href=/>x</a></nav><p>Kedi evden kaçtı, sonra akşam üzeri yavaş adımlarla bahçeye dönüp kapının önünde uyudu.</p><footer>f</footer>",
+     "Kedi evden kaçtı, sonra akşam üzeri yavaş adımlarla bahçeye dönüp kapının önünde uyudu."),
+    (f"<p>{LONG} &copy; 2020 A</p><p>&copy; 2020 B</p>", f"{LONG} © 2020 A"),
+])
+def test_html_scripts_and_short_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     import html
