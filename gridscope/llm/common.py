@@ -68,19 +68,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
 def rows_with(docs: DataFrame, marks: DataFrame, on: dict[str, Column], key: str) -> DataFrame:
     """The rows of ``docs`` whose values ``on`` occur in ``marks`` (columns of the same names), nulls included.
 
-    Of rows with the same key that also agree in ``on``, one stays; only repeated keys are
-    looked at for that. Rows without a key all stay.
+    Of rows with the same key, or none, that also agree in ``on``, one stays; only repeated
+    keys are looked at for that.
     """
     marks = staged(marks.select(*[F.col(name).alias(f"__mark_{name}") for name in on]).distinct(), "marks")
     held = docs.withColumns({f"__on_{name}": value for name, value in on.items()})
     match = [F.col(f"__on_{name}").eqNullSafe(F.col(f"__mark_{name}")) for name in on]
     held = held.join(marks, match, "left_semi")
     repeated = staged(
-        docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__mark_key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"),
-        "repeated",
+        docs.groupBy(F.col(key).alias("__mark_key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), "repeated",
     )
+    same = [key, *[f"__on_{name}" for name in on]]
+    parts = []
+    if not repeated.where(F.col("__mark_key").isNull()).isEmpty():
+        # Rows without a key are dealt by what else they agree in, never joined by their key.
+        parts.append(held.where(F.col(key).isNull()).dropDuplicates(same))
+        held = held.where(F.col(key).isNotNull())
+    repeated = repeated.where(F.col("__mark_key").isNotNull())
     if not repeated.isEmpty():
         again = F.col(key) == F.col("__mark_key")
-        once = held.join(repeated, again, "left_semi").dropDuplicates([key, *[f"__on_{name}" for name in on]])
-        held = held.join(repeated, again, "left_anti").unionByName(once)
+        parts.append(held.join(repeated, again, "left_semi").dropDuplicates(same))
+        held = held.join(repeated, again, "left_anti")
+    for part in parts:
+        held = held.unionByName(part)
     return held.select(docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from gridscope.llm.common import column_of, rows_with, slices, staged
+from gridscope.llm.common import column_of, rows_with, slices, staged, text_or_empty
 from gridscope.llm.components import components
 
 #: Bits of a shingle's hash that its rarity is counted by.
@@ -92,12 +92,15 @@ def overlap_needed(total: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * total / F.lit(100 + percent))
 
 
-def shingled(docs: DataFrame, key: str, text: str, size: int, percent: int, chunk_rows: int, part_keys: int) -> DataFrame:
+def shingled(
+    docs: DataFrame, key: str, text: str, size: int, percent: int, chunk_rows: int, part_keys: int, with_sha: bool = False,
+) -> DataFrame:
     """One row per document: its set, and the shared shingles of its prefix with their places.
 
     ``row, key, n, d1, d2`` (two halves of a digest of the set), ``prefix`` (``token, pos,
     rarity``) of the shingles that another document has too, and ``members``, the set's
-    sorted hashes where there are any. ``docs`` is read twice and must give its rows in the
+    sorted hashes where there are any; with ``with_sha`` also ``sha``, the SHA-256 of the text,
+    where a null counts as empty. ``docs`` is read twice and must give its rows in the
     same order each time, as a table of files does; a difference is an error.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
@@ -152,7 +155,7 @@ def shingled(docs: DataFrame, key: str, text: str, size: int, percent: int, chun
         if len(rarity) != len(keys):
             raise ValueError("the documents were read in another order the second time; hand in a written table")
         out = []
-        for row, own, members in zip(group["row"], group["key"], sets, strict=True):
+        for row, own, content, members in zip(group["row"], group["key"], group["text"], sets, strict=True):
             rare = rarity[np.searchsorted(keys, _rarity_key(members))]
             n = len(members)
             length = n - -(-percent * n // 100) + 1 if n else 0
@@ -162,13 +165,15 @@ def shingled(docs: DataFrame, key: str, text: str, size: int, percent: int, chun
                 for p, (t, r) in enumerate(zip(members[order].astype(np.int64), rare[order], strict=True)) if r
             ]
             digest = np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64)
-            out.append((row, own, n, int(digest[0]), int(digest[1]), prefix, members.tobytes() if prefix else None))
-        return pd.DataFrame(out, columns=["row", "key", "n", "d1", "d2", "prefix", "members"])
+            sha = [hashlib.sha256((content or "").encode("utf-8")).hexdigest()] if with_sha else []
+            out.append((row, own, n, int(digest[0]), int(digest[1]), prefix, members.tobytes() if prefix else None, *sha))
+        return pd.DataFrame(out, columns=["row", "key", "n", "d1", "d2", "prefix", "members", *(["sha"] if with_sha else [])])
 
     kind = rows.schema["key"].dataType.simpleString()
     return staged(
         rows.groupBy("chunk").cogroup(rarities.groupBy("chunk")).applyInPandas(
             describe, f"row long, key {kind}, n long, d1 long, d2 long, prefix array<struct<token:bigint,pos:int,rarity:int>>, members binary"
+            + (", sha string" if with_sha else "")
         ),
         "shingled",
     )
@@ -219,20 +224,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "links")
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, chunk_rows: int = 4096,
-    part_keys: int = 2_000_000, block: int = 2048,
-) -> DataFrame:
-    """``key, n_shingles, component_id, row`` for every row of ``docs``.
-
-    Two rows are linked when ``100 * intersection >= percent * union`` of their sets of
-    ``size``-word shingles (words are parted by ASCII white space, A-Z count as lower case;
-    shorter texts are one shingle). ``component_id`` is the least key among the rows that
-    links lead to. Rows without words and null texts have empty sets and stay alone, also if
-    their keys are null or repeat. Other columns are not read. An empty table gives no rows.
-    """
-    rows = shingled(docs, key, text, size, percent, chunk_rows, part_keys)
-    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("first"), F.min("key").alias("least_key"))
+def _rooted(rows: DataFrame, percent: int, block: int, best: Column) -> tuple[DataFrame, DataFrame]:
+    """``d1, d2, n, root`` of every class of equal sets of ``rows``, and per ``root`` the least ``best`` as ``component_id``."""
+    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("first"), F.min(best).alias("least_key"))
     classes = staged(classes, "classes")
     firsts = classes.select(F.col("first").alias("row"))
     sets = staged(rows.where("members is not null").join(firsts, "row", "left_semi").select("row", "n", "prefix", "members"), "sets")
@@ -271,6 +265,23 @@ def near_duplicates(
         "rooted",
     )
     least = staged(rooted.groupBy("root").agg(F.min("least_key").alias("component_id")), "component-ids")
+    return rooted, least
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, chunk_rows: int = 4096,
+    part_keys: int = 2_000_000, block: int = 2048,
+) -> DataFrame:
+    """``key, n_shingles, component_id, row`` for every row of ``docs``.
+
+    Two rows are linked when ``100 * intersection >= percent * union`` of their sets of
+    ``size``-word shingles (words are parted by ASCII white space, A-Z count as lower case;
+    shorter texts are one shingle). ``component_id`` is the least key among the rows that
+    links lead to. Rows without words and null texts have empty sets and stay alone, also if
+    their keys are null or repeat. Other columns are not read. An empty table gives no rows.
+    """
+    rows = shingled(docs, key, text, size, percent, chunk_rows, part_keys)
+    rooted, least = _rooted(rows, percent, block, F.col("key"))
     named = staged(rooted.join(least, "root").select("d1", "d2", "n", "component_id"), "named")
     facts = rows.select("row", "key", "n", "d1", "d2")
     return facts.where("n > 0").join(named, ["d1", "d2", "n"]).select(
@@ -279,9 +290,12 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least key.
+    """``docs`` with one document of each component: the one with the least key (nulls last), then the first.
 
-    Of a component whose rows have no key all rows stay.
+    Rows that repeat a key are told apart by their text, and so are rows without a key. Of
+    rows without words, one of each key and text stays.
     """
-    told = near_duplicates(docs, key, text, size, percent)
-    return rows_with(docs, told.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("key")), {"key": F.col(key)}, key)
+    rows = shingled(docs, key, text, size, percent, 4096, 2_000_000, with_sha=True)
+    _, least = _rooted(rows, percent, 2048, F.struct(F.col("key").isNull().alias("void"), "key", "row", "sha"))
+    told = least.select("component_id.key", "component_id.sha").unionByName(rows.where("n = 0").select("key", "sha"))
+    return rows_with(docs, told, {"key": F.col(key), "sha": F.sha2(text_or_empty(text), 256)}, key)

@@ -254,6 +254,22 @@ def test_jaccard_join_hard_cases(spark, hard, nothing):
     assert sum(r["doc_id"] in (1, 2, 3, -11) for r in kept.collect()) == 1
 
 
+def test_rows_that_repeat_a_key_or_have_none(spark):
+    """Different texts under one key, near copies of them under others, and copies without keys."""
+    first, second, third, fourth = (some_text(700 + k, 80) for k in range(4))
+    near = {t: t.replace(t.split()[40], "edited", 1) for t in (first, second, third, fourth)}
+    rows = [
+        (5, first), (5, second), (9, near[first]), (3, near[second]), (5, first), (None, third), (None, near[third]), (None, third),
+        (None, fourth), (8, near[fourth]), (None, None), (7, ""),
+    ]
+    stored = packing.staged(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "keys")
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in jaccard_join.without_near_duplicates(stored).collect())))
+    assert got == sorted(map(str, [(5, first), (3, near[second]), (None, third), (8, near[fourth]), (None, None), (7, "")]))
+    copies = spark.createDataFrame([(None, first), (None, first), (None, second), (4, third), (4, fourth), (4, third)], "doc_id long, text string")
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in block_dedup.without_duplicates(copies).collect())))
+    assert got == sorted(map(str, [(None, first), (None, second), (4, third), (4, fourth)]))
+
+
 def test_components(spark):
     draw = random.Random(5)
     links = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 + k) for k in range(50)] + [(draw.randrange(2000, 2100), draw.randrange(2000, 2100)) for _ in range(60)]
