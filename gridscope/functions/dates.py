@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F, types as T
 from gridscope.functions.clean import kind_of, quoted
 
 # Texts that cannot be dates are told apart cheaply by these two shapes.
-THREE_DIGITS = "[0-9](.*[0-9]){2}"
-MAYBE_DATE = r"^[0-9A-Za-z][-0-9A-Za-z/., :+]{4,39}$"
+THREE_DIGITS = "[0-9](?:[^0-9]*[0-9]){2}"
+MAYBE_DATE = r"^[0-9A-Za-z][-0-9A-Za-z/., :+]{4,}$"
 ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
 # Rewrites of a text whose separators are single spaces. Years get four
 # digits (69 to 99 are 19xx, 00 to 68 are 20xx); a day that cannot be a month moves back.
@@ -56,7 +56,7 @@ def date_from_text(cell: Column) -> Column:
     other = F.when(
         text.rlike("[A-Za-z]{3}"), F.transform(bound, lambda t: _by_shape(t, NAMED_SHAPES))[0]
     ).otherwise(F.transform(bound, lambda t: _by_shape(t, NUMERIC_SHAPES))[0])
-    possible = F.length(cell).between(5, 50) & text.rlike(THREE_DIGITS) & text.rlike(MAYBE_DATE)
+    possible = (F.length(text) >= 5) & text.rlike(MAYBE_DATE) & text.rlike(THREE_DIGITS)
     return F.when(possible, F.when(text.rlike(r"^\d{4}-"), iso).otherwise(other))
 
 

@@ -168,3 +168,13 @@ def test_overrides(spark, prof):
     assert "Nope" not in final.columns
     reviewed = overrides.apply_review(p, {"Qty": {"agg_kind": "average"}, "Price": {"agg_kind": "median"}})
     assert (reviewed.columns["Qty"]["agg_kind"], reviewed.columns["Price"]["agg_kind"]) == ("average", "sum")
+
+
+def test_dates_padded_and_long(spark):
+    """Padding and repeated separators never hide a date; long texts that hold one are none."""
+    cells = ["2024-01-05" + " " * 54, " " * 60 + "Jan 5, 2024", "September" + " " * 20 + "5," + " " * 20 + "2024   10:05:33 PM", "2024-01-05 " * 9, "1200" + " " * 60]
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    got = [r[0] for r in df.select(F.to_date(dates.date_from_text(F.col("cell"))).cast("string")).collect()]
+    assert got == ["2024-01-05", "2024-01-05", "2024-09-05", None, None]
+    padded = spark.createDataFrame([(f"2024-01-{k % 28 + 1:02d}".ljust(64), k) for k in range(60)], "day string, n long")
+    assert types(profile(padded))["day"] == "date"
