@@ -16,7 +16,16 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 
 #: Fixed values of the line rules.
 CLOSING = ".!?…:;,\"'”’»)]}。！？：；，、」』）"
+#: Closing punctuation of any script beyond ASCII, but for dots and signs that part or mark items.
+CLOSING_ANYWHERE = r"[\p{Po}\p{Pe}\p{Pf}“‘«‹&&[^\x00-\x7F·•‧∙§¶¡¿‰†‡※]]"
+BLANKS = " \t\n\x0B\f\r"
 SHORT_LINE = 60
+#: Words of a line of running text; two letters of a script without spaces count as one.
+RUNNING_WORDS = 4
+WORD = (
+    r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]{2}"
+    r"|[^ \t\n\x0B\f\r\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]+"
+)
 SEPARATED = r" [|•›»·/>→-] "
 SHOUT = r"[!?]{2,}"
 BOILERPLATE = (
@@ -33,19 +42,37 @@ def count_of(value: Column, pattern: str) -> Column:
     return F.length(value) - F.length(F.regexp_replace(value, pattern + "+", ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one of the line rules rejects a line. Lines of spaces only never fail.
+def _closed(solid: Column) -> Column:
+    last = F.substring(solid, -1, 1)
+    return F.instr(F.lit(CLOSING), last).cast("boolean") | F.rlike(last, F.lit(CLOSING_ANYWHERE))
+
+
+def reads_on(line: Column, after: Column) -> Column:
+    """Whether a line without closing punctuation goes on in the next: in lower case, or both have the words of running text."""
+    words, more = (F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))) for x in (line, after))
+    lower = F.rlike(after, F.lit(r"^[ \t]*\p{Ll}")) & (words + more >= 2 * RUNNING_WORDS)
+    return lower | (words >= RUNNING_WORDS) & (more >= RUNNING_WORDS)
+
+
+def line_fails(line: Column, before: Column | None = None, after: Column | None = None) -> Column:
+    """Whether one of the line rules rejects a line. Lines of white space only never fail.
 
     * punctuation: symbols are a tenth or more of the line, or three or more pile-ups of
-      exclamation or question marks, or a short line without closing punctuation;
+      exclamation or question marks, or a short line without closing punctuation that
+      neither reads on in the line ``after`` it nor goes on from the one ``before``;
     * navigation: three or more separated items, of four words at most on average;
     * boilerplate: a short line with a phrase of web-page furniture.
     """
-    solid, size = F.rtrim(line), F.length(line)
+    solid, size = F.rtrim(line, F.lit(BLANKS)), F.length(line)
+    alone = F.lit(True)
+    if after is not None:
+        alone &= ~reads_on(line, after)
+    if before is not None:
+        alone &= _closed(F.rtrim(before, F.lit(BLANKS))) | ~reads_on(before, line)
     separators = F.size(F.regexp_extract_all(line, F.lit(SEPARATED), F.lit(0)))
     spaces = count_of(line, " ")
     return (solid != "") & (
-        ((size < SHORT_LINE) & ~F.instr(F.lit(CLOSING), F.substring(solid, -1, 1)).cast("boolean"))
+        ((size < SHORT_LINE) & ~_closed(solid) & alone)
         | (F.lit(10) * count_of(line, SYMBOLS) >= size)
         | (F.contains(line, F.lit("!!")) | F.contains(line, F.lit("??"))) & (F.size(F.regexp_extract_all(line, F.lit(SHOUT), F.lit(0))) >= 3)
         | (separators >= 3) & (F.lit(4) * separators >= spaces - separators)
@@ -96,7 +123,8 @@ def _judged(docs: DataFrame, carry: Column, text: str) -> DataFrame:
     full = F.filter("__lines", lambda line: F.regexp_replace(line, SPACE_CLASS + "+", "") != "")
     docs = docs.withColumn("__full", full)
     docs = docs.withColumn("n_dup_lines", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"))
-    docs = docs.withColumn("__passed", F.filter("__lines", lambda line: ~line_fails(line))).drop("__full")
+    near = lambda i: F.coalesce(F.get("__lines", i), F.lit(""))
+    docs = docs.withColumn("__passed", F.filter("__lines", lambda line, i: ~line_fails(line, near(i - 1), near(i + 1)))).drop("__full")
     docs = docs.withColumn("__clean", F.array_join("__passed", "\n"))
     docs = docs.withColumn("__kept_chars", F.when(F.size("__passed") == F.size("__lines"), F.col("word_chars")).otherwise(
         F.length(F.regexp_replace("__clean", SPACE_CLASS + "+", ""))

@@ -101,6 +101,21 @@ def test_quality_line_rules(spark, line, fails):
     assert df.select(quality_rules.line_fails(F.col("line"))).first()[0] is fails
 
 
+def test_quality_line_ends_scripts_and_wrapped_text(spark):
+    plain_lines = [some_text(40 + k, 9) for k in range(8)]
+    menu = [x.title() for x in WORDS[:4]]
+    texts = {
+        "crlf": "\r\n".join(plain_lines), "tab": "\t\n".join(plain_lines) + "\t",
+        "danda": "\n".join(f"यह {w} एक छोटा वाक्य है।" for w in WORDS[:8]), "arabic": "\n".join(f"هل {w} هذا سؤال قصير؟" for w in WORDS[:8]),
+        "wrapped": "\n".join(("Old " if k % 3 == 0 else "") + some_text(60 + k, 8)[:-1] for k in range(9)) + "\nthe sea",
+        "menu": "\n".join([*plain_lines, "", *menu]), "marks": "\n".join(f"{w} ♥ and ◆" for w in WORDS[:10]).replace(" and", ""),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    cleaned = {r["doc_id"]: r["text"] for r in quality_rules.clean(df).collect()}
+    assert {k: cleaned.get(k) for k in ("crlf", "tab", "danda", "arabic", "wrapped")} == {k: texts[k] for k in ("crlf", "tab", "danda", "arabic", "wrapped")}
+    assert cleaned["menu"] == "\n".join([*plain_lines, ""]) and "marks" not in cleaned
+
+
 def test_quality_clean_keeps_columns(spark, hard, nothing):
     text = some_text(5, 40) + "\nHome | News | Sport | Contact.\n" + some_text(6, 40)
     df = spark.createDataFrame([(1, text, "x", 7)], "doc_id long, text string, `__clean` string, n_chars int")
