@@ -36,7 +36,11 @@ Bins = list[tuple[int, list[int]]]
 
 
 class ChunkIds:
-    """Ids of texts by a tokenizer file, remembered for a bounded number of chunks."""
+    """Ids of texts by a tokenizer file, remembered for a bounded number of chunks.
+
+    The text of an added token, such as ``<|endoftext|>``, is encoded like any other text, so
+    that documents cannot hold control ids. The plain call of ``tokenizers`` gives its id.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -571,6 +571,14 @@ def test_chunks_are_borders():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_an_unmodified_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    usual, own = Tokenizer.from_file(path), packing.ChunkIds(path)
+    for text, same in (("a plain b", True), ("a <|endoftext|> b", False)):
+        ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+        assert (ids == usual.encode(text, add_special_tokens=False).ids) is same
+
+
 # The pipeline
 
 
