@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridscope.llm import bpe, html_extract, language_id, license_scan, ngram_lm
+from gridscope.llm import bpe, html_extract, language_id, lexical_search, license_scan, merkle, ngram_lm, toxicity
 from gridscope.llm.block_dedup import exact_duplicates
 from gridscope.llm.common import crc_share, staged, table
 from gridscope.llm.jaccard_join import near_duplicates
@@ -105,6 +105,35 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence scores learned from three quarters of the labelled ``documents``, and the noisy-or of all."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~toxicity.held_out())
+    told = toxicity.score(docs, model)
+    return told.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("sentences").alias("n_sentences"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every item of ``benchmark``."""
+    segments = lexical_search.index(table(spark, folder, "documents"))
+    return lexical_search.search(segments, table(spark, folder, "benchmark"))
+
+
+SQL["op12_lexical_search"] = lexical_search.SQL
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; a third of them show a text in lower case."""
+    docs = table(spark, folder, "documents")
+    tamper = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.proofs(docs, tampered={"text": merkle.lower_ascii(F.col("text"))}, tamper=tamper)
+
+
+SQL["op13_merkle_manifest"] = merkle.reference_sql()
+
 SQL["op1_quality_rules"] = reference_sql()
 
 SQL["op3_ngram_jaccard"] = r"""
