@@ -25,21 +25,38 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridscope.llm.common import column_of, local_file, slices, staged
 
-#: The white space of Unicode, as a character class.
+#: The white space of Unicode, and letters of Latin scripts, as character classes.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Byte-level BPE never merges across these borders, so ids can be looked up chunk by chunk.
-CHUNK = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
+LATIN = r"A-Za-zÀ-ÖØ-öø-ſ"
+#: Byte-level BPE never merges across these borders, so ids can be looked up chunk by chunk: after
+#: a run of letters that neither a letter nor another sign beyond ASCII follows, and around white space.
+CHUNK = re.compile(
+    f" ?[{LATIN}]++(?![\x80-\U0010ffff])| ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+"
+)
 #: Chunks a worker remembers and their characters, and the bytes of text handled at once.
 CACHE_CHUNKS, CACHE_CHARS, SLICE_BYTES = 800_000, 24_000_000, 6 << 20
 
 Bins = list[tuple[int, list[int]]]
 
 
+class Numbered(dict):
+    """Numbers of chunks in the order they were first asked for; ``new`` lists those asked for lately."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class ChunkIds:
-    """Ids of texts by a tokenizer file, remembered for a bounded number of chunks.
+    """Ids of texts by the file of a byte-level BPE, remembered for a bounded number of chunks.
 
-    The text of an added token, such as ``<|endoftext|>``, is encoded like any other text, so
-    that documents cannot hold control ids. The plain call of ``tokenizers`` gives its id.
+    The ids are those of the plain call of ``tokenizers``: the text of an added token, such as
+    ``<|endoftext|>``, has that token's id.
     """
 
     def __init__(self, path: str):
@@ -47,23 +64,42 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.chars = 0
+        added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = added
+        self.cut_at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.table, self.chars = Numbered(), [], 0
+
+    def _learn(self) -> None:
+        """Ids of the new chunks, many at once: a line end is a token of its own between chunks that hold no white space but in front."""
+        new, self.number.new = self.number.new, []
+        for k in range(0, len(new), 2_000):
+            part = new[k : k + 2_000]
+            joined = [c for c in part if not c.isspace()] if len(self.line_end) == 1 else []
+            coded = self.tokenizer.encode_batch_fast(["\n".join(joined)], add_special_tokens=False)[0].ids if joined else []
+            ids = np.array(coded, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids)).tolist() if joined else []
+            found = {}
+            if len(ends) == len(joined):
+                raw, start = ids.tobytes(), 0
+                for chunk, end in zip(joined, ends, strict=True):
+                    found[chunk], start = raw[4 * start : 4 * end], end + 1
+            self.table += [found[c] if c in found else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in part]
+            self.chars += sum(map(len, part))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [CHUNK.findall(t) for t in texts]
-        if len(self.known) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
-            self.known.clear()
-            self.chars = 0
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for chunk, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(coded.ids, "<u4").tobytes()
-                self.chars += len(chunk)
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        if len(self.table) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+            self._forget()
+        number = self.number.__getitem__
+        parts = [self.cut_at_added.split(t) if self.cut_at_added is not None else [t] for t in texts]
+        told = [[p if k % 2 else list(map(number, CHUNK.findall(p))) for k, p in enumerate(cut)] for cut in parts]
+        self._learn()
+        ids = self.table.__getitem__
+        return [b"".join([self.added[p] if k % 2 else b"".join(map(ids, p)) for k, p in enumerate(cut)]) for cut in told]
 
 
 @functools.lru_cache(maxsize=1)

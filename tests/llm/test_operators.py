@@ -335,7 +335,6 @@ def test_language_id_hard_cases(hard, nothing, documents):
 def test_pieces_and_packing(spark, documents, hard, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     for docs, capacity in ((documents, 2048), (hard, 64)):
         stored = packing.staged(packing.pieces_of(docs, path, capacity=capacity), "pieces")
         texts = {r["row"]: r["text"] for r in docs.select(F.monotonically_increasing_id().alias("row"), "text").collect()}
@@ -553,19 +552,21 @@ def test_bpe_against_library(documents, texts, hard, nothing):
 
 def test_bpe_contracts_like_the_library():
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     own, draw = bpe.WordCoder(path, pattern), random.Random(4)
     letters = [chr(k) for k in [*range(300), 0x301, 0x4E2D, 0x1F600]]
-    for text in ["".join(draw.choice(letters) for _ in range(50)) for _ in range(300)] + ["ab" * 120, "abc" * 200]:
+    for text in ["".join(draw.choice(letters) for _ in range(50)) for _ in range(300)] + [
+        "ab" * 120, "abc" * 200, "x" * 5000, "é" * 2500, "-" * 20_000, "the" * 500, "".join(draw.choice("eationrs") for _ in range(1500)),
+    ]:
         words = regex.findall(pattern, text)
         own.learn(set(words))
         n, ids, decoded = own.code(words)
-        assert ids == " ".join(map(str, own.library.encode_ordinary(text))) and decoded == text.encode() and n == len(ids.split())
+        assert ids == " ".join(map(str, library.encode_ordinary(text))) and decoded == text.encode() and n == len(ids.split())
 
 
 def test_chunks_are_borders():
     whole, draw = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
-    whole.encode_special_tokens = True
-    letters = [chr(k) for k in [*range(256), 0x85, 0x1680, 0x2003, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x4E2D]] + [" ", "\n", "'s"] * 20
+    letters = [chr(k) for k in [*range(0x250), 0x85, 0x1680, 0x2003, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x4E2D, 0x301]] + [" ", "\n", "'s"] * 20
     texts = ["".join(draw.choice(letters) for _ in range(60)) for _ in range(400)] + ["", "<|endoftext|> x"]
     got = packing.ChunkIds(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
@@ -574,9 +575,9 @@ def test_chunks_are_borders():
 def test_ids_of_an_unmodified_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     usual, own = Tokenizer.from_file(path), packing.ChunkIds(path)
-    for text, same in (("a plain b", True), ("a <|endoftext|> b", False)):
-        ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
-        assert (ids == usual.encode(text, add_special_tokens=False).ids) is same
+    texts = ["a plain b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "foo日本 foo² x½ Ⅷa aª l'été d'ê", "..foo,, (bar) ſt ß×÷a"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == usual.encode(text, add_special_tokens=False).ids
 
 
 # The pipeline
