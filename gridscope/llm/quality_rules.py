@@ -145,7 +145,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ``docs`` are not read. An empty table gives no rows.
     """
     judged = _judged(docs, F.col(key), text).drop("__clean")
-    return judged.select(F.col("__row").alias(key), *judged.columns[1:])
+    return _settled(judged).select(F.col("__row").alias(key), *judged.columns[1:])
+
+
+def _settled(judged: DataFrame) -> DataFrame:
+    """The same rows behind a generator: a filter on a verdict would be pushed below its parts and repeat them."""
+    whole = F.struct(*[F.col(c) for c in judged.columns])
+    return judged.select(F.explode(F.array(whole)).alias("r")).select("r.*")
 
 
 def clean(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
@@ -154,7 +160,6 @@ def clean(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
     ``size``, where there is such a column, becomes the number of the cleaned text's characters.
     """
     judged = _judged(docs, F.struct(*[F.col(c) for c in docs.columns]), text)
-    # A filter on the verdict would be pushed below its parts and repeat them; a generator is not.
     passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(F.struct("__row", "__clean")))).alias("r")).where("r is not null")
     made = {text: F.col("r.__clean")} | ({size: F.length("r.__clean").cast("long")} if size in docs.columns else {})
     kinds = dict(docs.dtypes)
