@@ -26,14 +26,14 @@ EVENT_SCHEMA = T.StructType([
 def append_events(events: DataFrame, path: str, format: str = "json") -> None:
     """Add records to the log; earlier ones are never touched.
 
-    Records without a ``ts`` of their own are stamped with the time of writing, in epoch
-    seconds, and those without an ``id`` get one.
+    Where ``events`` has no ``ts`` column, its records are stamped with the time of writing, in
+    epoch seconds; a null ``ts`` stays null, for a record whose time is not known. Records
+    without an ``id`` get one.
     """
-    now, new_id = F.unix_micros(F.current_timestamp()) / F.lit(1e6), F.uuid()
-    stamp = {"ts": now, "id": new_id}
-    events = events.withColumns({
-        c: value if c not in events.columns else F.coalesce(F.col(c), value.cast(events.schema[c].dataType)) for c, value in stamp.items()
-    })
+    if "ts" not in events.columns:
+        events = events.withColumn("ts", F.unix_micros(F.current_timestamp()) / F.lit(1e6))
+    own = F.coalesce(F.col("id").cast("string"), F.uuid()) if "id" in events.columns else F.uuid()
+    events = events.withColumn("id", own)
     events.write.mode("append").format(format).save(path)
 
 

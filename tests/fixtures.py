@@ -1,51 +1,66 @@
-"""Small messy tables, each with one property that typing or reading must cope with."""
+"""Small tables, each built from one rule of reading or typing and lying at its border."""
 
+import csv
+import io
 from datetime import date, timedelta
 
 
-def cycle(header, rows, n):
-    return [header, *(rows[i % len(rows)] for i in range(n))]
-
-
-# three fifths of the costs, three quarters of the rebates are numbers
-PRICES = cycle("Part,Cost,Rebate", [
-    'Bolt,"$2,750.25",8%', "Washer,640,3%", "Hinge,$4.5K,N/A", 'Bracket,"880 EUR",-', "Spring,ask,15%",
-], 50)
-# a sixth of the names and a third of the others are missing
-GAPS = cycle("Guest,Nights,Wing", ["Ida,4,Lake", "Jon,,Hill", ",6,Lake", "Kim,9,", "Leo,,", "Mia,5,Yard"], 120)
-REPEATED = ["Crate,Units", *["Pine,12"] * 50, *["Oak,36"] * 30]
-SAME = ["Room,Seats,State", *["R7,25,Open"] * 30]
-# five of six filled cells are a date
-DATES = ["Date,Load", *(
-    f'{["03/04/25", "2025-03-04", chr(34) + "Mar 4, 2025" + chr(34), "4-Mar-25", "04.03.2025", "soon", "N/A", ""][i % 8]},{7 * i + 3}'
-    for i in range(80)
-)]
-# two thirds of the filled readings are numbers
-MIXED = ["ID,Reading,Group", *(
-    f'{i},{["3", "7", "low", "12", "high", "2.5", "void", "31", "44", "N/A"][i % 10]},{"PQ"[i % 2]}' for i in range(80)
-)]
-ACCENTS = cycle("Título,Páginas,Género,Fecha", [
-    "Corazón de Año,210,Ficción,2023-05-02", "Niñez,96,Memoria,2023-06-11", "Más Allá,305,Poesía,2023-07-20",
-], 45)
-REPORT = ["Harbour log", "", "Week 1", "Boats: 1,204", "Crew: 88", "", "Week 2", "Boats: 1,377"]
-WIDE = [",".join(f"metric_{j}" for j in range(200)), *(",".join(str((r + 1) * (j + 2)) for j in range(200)) for r in range(10))]
-# half as many runners as rows
-RUNS = ["Runner,Track,Score,Run Date", *(
-    f"{runner},{track},{score},05/0{day}/2023" for runner, track, score, day in
-    [("Oda", "Park", 61, 6), ("Pia", "Shore", 74, 6), ("Oda", "Shore", 58, 7), ("Rex", "Park", 69, 7), ("Pia", "Park", 77, 8), ("Rex", "Shore", 66, 8)]
-)]
-FARES = {"Cave": 18.5, "Lagoon": 32.0, "Ridge": 24.25}
-
-
-def tours(n=16):
-    """Bookings every fourth day, with two remarks."""
-    lines = ["Date,Guest,Item,Qty,Price,Total,Notes"]
-    for i in range(n):
-        item, qty = list(FARES)[i % 3], [2, 5, 1, 4, 3, 6, 2, 7][i % 8]
-        day = (date(2023, 5, 1) + timedelta(days=4 * i)).strftime("%m/%d/%Y")
-        guest, note = ["Ann Vale", "Ben Roe", "Cy Dunn", "Di Poe"][(i * 3) % 4], {3: "late pickup", 10: "paid in cash"}.get(i, "")
-        lines.append(f"{day},{guest},{item},{qty},{FARES[item]},{qty * FARES[item]},{note}")
-    return lines
-
-
-TOURS = tours()
+def lines(header, rows):
+    """Delimited text of a table, quoted where needed."""
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([header, *rows])
+    return out.getvalue().splitlines()
+
+
+def share(good, other, n=100):
+    """``n`` cells, the first ``good`` of them made by the rule's ``other(k)`` and the rest words."""
+    return [other(k) if k < good else f"w{k}" for k in range(n)]
+
+
+# Exactly the wanted share of values parses, or one value less.
+SHARES = lines(["enough", "short", "dated", "undated"], zip(
+    share(80, lambda k: f"${k + 1:,}.5"), share(79, lambda k: f"{k + 1}%"),
+    share(80, lambda k: str(date(2022, 1, 1) + timedelta(days=k))), share(79, lambda k: str(date(2022, 1, 1) + timedelta(days=k))),
+))
+# Half as many values as rows, and one value more; a measure whose name asks for averages.
+RATIOS = lines(["half", "over", "drift rate"], [(f"h{k % 7}", f"o{k % 8}", 3 * k + 1) for k in range(14)])
+# As many values as a category may have, and one more.
+FEW = lines(["fifty", "more"], [(f"f{k % 50}", f"m{k % 51}") for k in range(204)])
+# One form of a date per row; every second moon is filled with a word.
+FORMS = ["%Y-%m-%d", "%m/%d/%Y", "%m-%d-%y", "%b %d, %Y", "%d %B %Y", "%Y/%m/%d", "%Y%m%d"]
+DAYS = [date(2021, 11, 3) + timedelta(days=5 * k) for k in range(28)]
+FORMED = lines(["written", "moon"], [(d.strftime(FORMS[k % len(FORMS)]), ["", "new"][k % 2]) for k, d in enumerate(DAYS)])
+# Column k misses every (k + 2)nd cell.
+HOLES = lines(["level", "mark", "spot"], [
+    ("" if k % 2 == 0 else k, "" if k % 3 == 0 else f"m{k % 4}", "" if k % 4 == 0 else f"s{k % 6}") for k in range(96)
+])
+# Row k stands there k times.
+COPIES = lines(["lot", "weight"], [(f"L{k}", 10 * k) for k in range(1, 10) for _ in range(k)])
+# Every column holds one value, or none.
+FLAT = lines(["depth", "zone", "void"], [(4, "inner", "")] * 22)
+# Words that mean nothing was filled in, and words that only look like it.
+TOKENS = lines(["token", "n"], [(["N/A", "NaN", "null", "-", "unknown", "x7"][k % 6], k) for k in range(60)])
+# Names and values beyond ASCII.
+SIGNS = lines(["Größe", "Straße", "Übergabe", "种类"], [
+    (11 * k, ["Öl", "Äpfel", "naïve Ware"][k % 3], str(date(2020, 2, 27) + timedelta(days=k)), "甲乙丙丁"[k % 4]) for k in range(36)
+])
+# Text columns of few values and no measure.
+KINDS = lines(["deck", "hatch"], [(f"d{k % 5}", f"h{k % 4}") for k in range(40)])
+# Groups of three and of four rows, on three days.
+SPARSE = lines(["lane", "shift", "speed rating", "day"], [(f"l{k % 4}", f"s{k % 3}", 5 * k + 2, f"2020-03-0{k % 3 + 1}") for k in range(12)])
+# More measures than one aggregate takes.
+WIDE = lines([f"gauge_{j}" for j in range(130)], [[(r + 2) * (j + 1) for j in range(130)] for r in range(9)])
+# Prose with more fields in some line than in the first.
+PROSE = ["Tide book", "low water, then high", "north, south, east, west", "", "calm"]
+
+# A harbour: a visit every third day, dues by berth and crates.
+DUES = {"east": 7.5, "west": 11.0, "pier": 4.25}
+VISITS = [
+    {
+        "arrival": date(2024, 2, 5) + timedelta(days=3 * k), "berth": list(DUES)[(k * k) % 3], "pilot": f"p{k % 4}", "crates": (5 * k) % 13 + 1,
+        "draught": round(2.5 + (3 * k) % 7 / 2, 1), "remark": {4: "tow needed", 11: "late papers"}.get(k, ""),
+    } for k in range(18)
+]
+for visit in VISITS:
+    visit["dues total"] = visit["crates"] * DUES[visit["berth"]]
+HARBOUR = lines(list(VISITS[0]), [[v.strftime("%d %b %Y") if isinstance(v, date) else v for v in visit.values()] for visit in VISITS])

@@ -29,13 +29,13 @@ def test_blank_and_repeated_names(spark, text_file):
 
 
 def test_null_tokens_but_not_dashes(spark, text_file):
-    df = read_table(spark, text_file("currency.csv", fixtures.PRICES))
-    counts = df.agg(F.count("Rebate"), F.count_if(F.col("Rebate") == "-"), F.count_if(F.col("Cost") == "$2,750.25")).first()
-    assert tuple(counts) == (40, 10, 10)
+    df = read_table(spark, text_file("tokens.csv", fixtures.TOKENS))
+    counts = df.agg(F.count("token"), F.count_if(F.col("token") == "-"), F.count_if(F.col("token") == "unknown")).first()
+    assert tuple(counts) == (30, 10, 10)
 
 
 def test_rejections(spark, text_file, tmp_path):
-    refused("NO_TABULAR_DATA", spark, text_file("report.csv", fixtures.REPORT))
+    refused("NO_TABULAR_DATA", spark, text_file("report.csv", fixtures.PROSE))
     refused("NO_TABULAR_DATA", spark, text_file("ragged.csv", ["a,b", "1,2", '"x,y",2,3', "3,4"]))
     refused("NO_TABULAR_DATA", spark, text_file("single.csv", ["Value", "1", "2"]))
     refused("EMPTY_DATASET", spark, text_file("header.csv", ["Name,Amount,Date"]))

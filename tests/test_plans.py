@@ -25,46 +25,47 @@ def kinds(charts):
     return out
 
 
-def test_sales_dashboard(table):
-    a = dashboard.analyze(table(fixtures.TOURS))
+def test_harbour_dashboard(table):
+    a, visits = dashboard.analyze(table(fixtures.HARBOUR)), fixtures.VISITS
     assert kinds(a.charts) == {"summary_card": 3, "line": 2, "bar": 6, "histogram": 3, "pie": 2}
     line = next(c for c in a.charts if c["type"] == "line")
     weeks = {}
-    for day, _, _, qty, *_ in (row.split(",") for row in fixtures.TOURS[1:]):
-        moment = datetime.strptime(day, "%m/%d/%Y")
-        weeks[moment - timedelta(days=moment.weekday())] = weeks.get(moment - timedelta(days=moment.weekday()), 0) + int(qty)
-    values = [weeks[w] for w in sorted(weeks)]
-    assert [p["value"] for p in line["points"]] == values
+    for v in visits:
+        monday = v["arrival"] - timedelta(days=v["arrival"].weekday())
+        weeks[monday] = weeks.get(monday, 0) + v["crates"]
+    values, days = [weeks[w] for w in sorted(weeks)], sorted(weeks)
+    assert line["measure_column"] == "crates" and [p["value"] for p in line["points"]] == values
     change = round((values[-1] / values[0] - 1) * 100)
-    assert line["stat_summary"].startswith(f"2023-05-01/2023-05-07 - 2023-06-26/2023-07-02: {change:+} percent; high point ")
+    shown = [f"{d}/{d + timedelta(days=6)}" for d in (days[0], days[-1])]
+    assert line["stat_summary"].startswith(f"{shown[0]} - {shown[1]}: {change:+} percent; high point ")
     assert a.quality["duplicate_entities"] == {}
-    assert dashboard.headline(a.charts)["title"] == "Total"
-    assert dashboard.trend_of(a.charts, "Qty") is line and dashboard.trend_of(a.charts, "Total") is None
-    assert a.overview["date_range"] == {"min": "2023-05-01", "max": "2023-06-30"}
+    assert dashboard.headline(a.charts)["title"] == "Dues Total"
+    assert dashboard.trend_of(a.charts, "crates") is line and dashboard.trend_of(a.charts, "dues total") is None
+    assert a.overview["date_range"] == {"min": str(visits[0]["arrival"]), "max": str(visits[-1]["arrival"])}
     assert len(dashboard.insights(a.charts)) == 13
-    row = a.records.where(F.col("Notes") == "late pickup").first()
-    assert (row["Date"], row["Qty"], row["Price"]) == ("2023-05-13", 4.0, 18.5)
+    row, towed = a.records.where(F.col("remark") == "tow needed").first(), visits[4]
+    assert (row["arrival"], row["crates"], row["draught"]) == (str(towed["arrival"]), towed["crates"], towed["draught"])
     assert a.charts_df().count() == 16
 
 
-def test_grades_dashboard(table):
-    a = dashboard.analyze(table(fixtures.RUNS))
+def test_small_groups_have_no_charts(table):
+    a = dashboard.analyze(table(fixtures.SPARSE))
     assert kinds(a.charts) == {"summary_card": 1, "histogram": 1, "pie": 2}
-    assert dashboard.headline(a.charts)["title"] == "Score"
+    assert dashboard.headline(a.charts)["title"] == "Speed Rating"
 
 
 def test_constant_table(table):
-    a = dashboard.analyze(table(fixtures.SAME))
+    a = dashboard.analyze(table(fixtures.FLAT))
     assert kinds(a.charts) == {"summary_card": 1, "histogram": 1}
-    assert a.quality["duplicate_rows"] == 29
-    assert next(c for c in a.charts if c["type"] == "histogram")["bins"] == [{"bin": "25", "count": 30}]
+    assert a.quality["duplicate_rows"] == 21
+    assert next(c for c in a.charts if c["type"] == "histogram")["bins"] == [{"bin": "4", "count": 22}]
 
 
 def test_categories_without_measures_are_counted(table):
-    a = dashboard.analyze(table(fixtures.PRICES))
+    a = dashboard.analyze(table(fixtures.KINDS))
     bars = [c for c in a.charts if c["type"] == "bar"]
-    assert [b["title"] for b in bars] == ["Count by Part", "Count by Cost", "Count by Rebate"]
-    assert bars[0]["bars"][0] == {"category": "Bolt", "value": 10.0}
+    assert [b["title"] for b in bars] == ["Count by Deck", "Count by Hatch"]
+    assert bars[0]["bars"] == [{"category": f"d{k}", "value": 8.0} for k in range(5)]
 
 
 def test_many_measures_are_capped(table):
@@ -73,17 +74,17 @@ def test_many_measures_are_capped(table):
 
 
 def test_review_overrides_and_about(table):
-    df = table(fixtures.TOURS)
+    df = table(fixtures.HARBOUR)
     a = dashboard.analyze(
-        df, overrides={"Qty": {"type": "numeric_measure", "agg_kind": "sum"}},
-        reviewed={"Qty": {"agg_kind": "average", "label": "Pieces"}, "Price": {"agg_kind": "average"}},
-        about="Bookings of a guide.",
+        df, overrides={"crates": {"type": "numeric_measure", "agg_kind": "sum"}},
+        reviewed={"crates": {"agg_kind": "average", "label": "Boxes"}, "draught": {"agg_kind": "average"}},
+        about="Visits to a harbour.",
     )
-    assert (a.profile.columns["Qty"]["agg_kind"], a.profile.columns["Price"]["agg_kind"]) == ("sum", "average")
-    assert a.labels["Qty"] == "Pieces" and a.corrected == ["Qty"] and a.about == "16 rows. Bookings of a guide."
+    assert (a.profile.columns["crates"]["agg_kind"], a.profile.columns["draught"]["agg_kind"]) == ("sum", "average")
+    assert a.labels["crates"] == "Boxes" and a.corrected == ["crates"] and a.about == "18 rows. Visits to a harbour."
     assert dashboard.guard_row_count("All 1,500 rows", 1500) == "All 1,500 rows"
     titles = [c["title"] for c in a.charts if c["type"] == "bar"]
-    assert "Pieces by Item" in titles and "Average Price by Item" in titles
+    assert "Boxes by Berth" in titles and "Average Draught by Berth" in titles
 
 
 def test_warnings(spark):
@@ -158,7 +159,7 @@ def test_bad_specs_are_refused(spark, bad, code):
 
 
 def test_exposed_columns(table):
-    assert spec.exposed_columns(profile(table(fixtures.SAME))) == ["Seats"]
+    assert spec.exposed_columns(profile(table(fixtures.FLAT))) == ["depth"]
 
 
 def test_records_drop_long_text_and_keep_nulls(spark, tmp_path):
@@ -205,7 +206,8 @@ def test_event_log(spark, tmp_path):
     eventlog.append_events(spark.createDataFrame([("stamped",)], "event_type string"), path)
     stamped = eventlog.read_events(spark, path, "stamped").first()
     assert before - 60 < float(stamped["ts"]) < before + 600 and len(stamped["id"]) == 36
-    iso.withColumn("ts", F.lit(None).cast("string")).write.mode("append").json(path)
+    # a record that says it has no time keeps none; one without the field is stamped
+    eventlog.append_events(iso.withColumn("ts", F.lit(None).cast("string")), path)
     (tmp_path / "log" / "broken.json").write_text("{not json\n")
     events = eventlog.read_events(spark, path)
     moment = eventlog.moment_of(F.col("ts"))
@@ -231,6 +233,6 @@ def test_activity_stream_continues_where_it_stopped(spark, tmp_path):
 
 
 def test_staged_table_is_the_same(spark, table):
-    df = table(fixtures.GAPS)
+    df = table(fixtures.HOLES)
     copy = records.staged(df)
-    assert copy.columns == df.columns and copy.exceptAll(df).count() == 0 and copy.count() == 120
+    assert copy.columns == df.columns and copy.exceptAll(df).count() == 0 and copy.count() == 96

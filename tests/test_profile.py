@@ -1,3 +1,6 @@
+import statistics
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,75 +20,79 @@ def types(p):
     return {c: i["type"] for c, i in p.columns.items()}
 
 
-def test_currency(prof):
-    p = prof(fixtures.PRICES)
-    assert types(p) == {"Part": "categorical", "Cost": "categorical", "Rebate": "categorical"}
-    assert [p.columns[c]["cardinality"] for c in p.columns] == [5, 5, 4]
-    assert p.columns["Rebate"]["null_fraction"] == 0.2
+def test_shares_at_the_gate(prof):
+    p = prof(fixtures.SHARES)
+    assert types(p) == {"enough": "numeric_measure", "short": "free_text", "dated": "date", "undated": "free_text"}
+    assert p.columns["enough"]["type_confidence"] == p.columns["dated"]["type_confidence"] == 0.5
+    assert p.columns["enough"]["sum"] == sum(k + 1.5 for k in range(80))
+    assert (p.columns["dated"]["min_date"], p.columns["dated"]["max_date"]) == ("2022-01-01", "2022-03-21")
+
+
+def test_ratio_of_a_category(prof):
+    p = prof(fixtures.RATIOS)
+    assert types(p) == {"half": "categorical", "over": "free_text", "drift rate": "numeric_measure"}
+    assert p.columns["half"]["type_confidence"] == 0.5 and p.columns["over"]["type_confidence"] == round(0.5 + abs(8 / 14 - 0.5), 3)
+    assert p.columns["drift rate"]["agg_kind"] == "average" and p.columns["drift rate"]["mean"] == sum(3 * k + 1 for k in range(14)) / 14
+
+
+def test_size_of_a_category(prof):
+    p = prof(fixtures.FEW)
+    assert types(p) == {"fifty": "categorical", "more": "free_text"}
+    assert len(p.columns["fifty"]["top_values"]) == 10 and p.columns["fifty"]["top_values"][0] == {"value": "f0", "count": 5}
 
 
 def test_missing_values(prof):
-    p = prof(fixtures.GAPS)
-    assert types(p) == {"Guest": "categorical", "Nights": "numeric_measure", "Wing": "categorical"}
-    assert p.columns["Guest"]["type_confidence"] == 0.95
-    assert (p.columns["Nights"]["sum"], p.columns["Nights"]["mean"]) == (480.0, 6.0)
+    p = prof(fixtures.HOLES)
+    assert types(p) == {"level": "numeric_measure", "mark": "categorical", "spot": "categorical"}
+    assert [p.columns[c]["null_fraction"] for c in p.columns] == [0.5, 0.333, 0.25]
+    odd = [k for k in range(96) if k % 2]
+    assert (p.columns["level"]["sum"], p.columns["level"]["mean"]) == (sum(odd), sum(odd) / len(odd))
 
 
 def test_repeated_rows(prof):
-    units = prof(fixtures.REPEATED).columns["Units"]
-    assert (units["sum"], units["mean"]) == (1680.0, 21.0)
-    assert (units["spread"]["q1"], units["spread"]["q3"]) == (12.0, 36.0)
+    weight, values = prof(fixtures.COPIES).columns["weight"], [10 * k for k in range(1, 10) for _ in range(k)]
+    q1, q3 = statistics.quantiles(values, n=4, method="inclusive")[::2]
+    assert (weight["sum"], weight["mean"]) == (sum(values), round(sum(values) / len(values), 2))
+    assert (weight["spread"]["q1"], weight["spread"]["q3"]) == (q1, q3)
 
 
 def test_one_value(prof):
-    p = prof(fixtures.SAME)
-    assert types(p) == {"Room": "constant", "Seats": "numeric_measure", "State": "constant"}
-    assert p.columns["Room"]["value"] == "R7"
-    assert p.columns["Seats"]["zero_anchor"] and p.columns["Seats"]["mean"] == 25.0
-
-
-def test_mixed_types(prof):
-    p = prof(fixtures.MIXED)
-    assert types(p) == {"ID": "identifier", "Reading": "categorical", "Group": "categorical"}
-    assert p.columns["Reading"]["type_confidence"] == 0.875 and p.columns["Reading"]["cardinality"] == 9
+    p = prof(fixtures.FLAT)
+    assert types(p) == {"depth": "numeric_measure", "zone": "constant"}  # the column without values is not read
+    assert p.columns["zone"]["value"] == "inner" and p.columns["depth"]["zero_anchor"] and p.columns["depth"]["mean"] == 4.0
 
 
-def test_weird_dates(prof):
-    info = prof(fixtures.DATES).columns["Date"]
-    assert info["type"] == "date" and info["type_confidence"] == 0.583 and info["null_fraction"] == 0.25
-    assert (info["min_date"], info["max_date"]) == ("2025-03-04", "2025-04-03")
+def test_forms_of_dates(prof):
+    p = prof(fixtures.FORMED)
+    info = p.columns["written"]
+    assert info["type"] == "date" and info["type_confidence"] == 1.0 and types(p)["moon"] == "constant"
+    assert (info["min_date"], info["max_date"]) == (str(fixtures.DAYS[0]), str(fixtures.DAYS[-1]))
 
 
-def test_accents(prof):
-    p = prof(fixtures.ACCENTS)
-    assert list(types(p).values()) == ["categorical", "numeric_measure", "categorical", "date"]
-    assert p.columns["Páginas"]["sum"] == 9165.0 and not p.columns["Páginas"]["agg_kind_confident"]
-    assert p.columns["Fecha"]["max_date"] == "2023-07-20"
+def test_names_beyond_ascii(prof):
+    p = prof(fixtures.SIGNS)
+    assert types(p) == {"Größe": "numeric_measure", "Straße": "categorical", "Übergabe": "date", "种类": "categorical"}
+    assert p.columns["Größe"]["sum"] == 11 * sum(range(36)) and not p.columns["Größe"]["agg_kind_confident"]
+    assert p.columns["Übergabe"]["max_date"] == "2020-04-02"
 
 
-def test_grades_and_sales(prof):
-    grades = prof(fixtures.RUNS)
-    assert list(types(grades).values()) == ["categorical", "categorical", "numeric_measure", "date"]
-    assert grades.columns["Runner"]["type_confidence"] == 0.5
-    assert grades.columns["Track"]["type_confidence"] == 0.667
-    assert grades.columns["Score"]["agg_kind"] == "average"
-    sales = prof(fixtures.TOURS)
-    assert list(types(sales).values()) == [
-        "date", "categorical", "categorical", "numeric_measure", "numeric_measure", "numeric_measure", "free_text",
-    ]
-    assert (sales.columns["Qty"]["sum"], sales.columns["Total"]["sum"]) == (60.0, 1493.25)
-    assert sales.columns["Guest"]["type_confidence"] == 0.75
+def test_harbour(prof):
+    p, visits = prof(fixtures.HARBOUR), fixtures.VISITS
+    assert list(types(p).values()) == ["date", "categorical", "categorical", "numeric_measure", "numeric_measure", "free_text", "numeric_measure"]
+    for measure in ("crates", "dues total"):
+        assert p.columns[measure]["sum"] == round(sum(v[measure] for v in visits), 2)
+    assert p.columns["pilot"]["type_confidence"] == round(0.5 + abs(4 / 18 - 0.5), 3)
 
 
 def test_many_columns(prof):
     p = prof(fixtures.WIDE)
-    assert len(p.columns) == 200 and set(types(p).values()) == {"numeric_measure"}
-    assert all(p.columns[f"metric_{j}"]["sum"] == 55.0 * (j + 2) for j in range(200))
+    assert len(p.columns) == 130 and set(types(p).values()) == {"numeric_measure"}
+    assert all(p.columns[f"gauge_{j}"]["sum"] == sum(range(2, 11)) * (j + 1) for j in range(130))
 
 
 def test_single_row(prof):
-    p = prof(["Name,Amount,Date", "Alice,100,2024-01-01"])
-    assert list(types(p).values()) == ["constant", "numeric_measure", "date"]
+    p = prof(fixtures.HARBOUR[:2])
+    assert types(p) == {"arrival": "date", "berth": "constant", "pilot": "constant", "crates": "numeric_measure", "draught": "numeric_measure", "dues total": "numeric_measure"}
 
 
 def test_physical_types(spark):
@@ -104,16 +111,16 @@ def test_nulls_of_unsupported_columns_are_counted(spark):
 
 
 def test_estimates_agree_on_types(prof):
-    for lines in (fixtures.GAPS, fixtures.MIXED, fixtures.TOURS):
+    for lines in (fixtures.HOLES, fixtures.SHARES, fixtures.HARBOUR):
         assert types(prof(lines)) == types(prof(lines, distinct="estimate"))
 
 
 def test_tiers_and_samples(spark, prof):
     assert [confidence_tier(c) for c in (0.9, 0.899, 0.7, 0.69)] == ["high", "medium", "medium", "low"]
-    p = prof(fixtures.RUNS)
-    assert least_confident_first(p).first()["column"] == "Student Name"
+    p = prof(fixtures.RATIOS)
+    assert [r["column"] for r in least_confident_first(p).collect()] == ["half", "over", "drift rate"]
     samples = {r["column"]: r["samples"] for r in column_samples(p.df).collect()}
-    assert samples["Score"] == ["88", "92", "79", "95", "84"]
+    assert samples["drift rate"] == [str(3 * k + 1) for k in range(5)]
 
 
 def test_name_words():
@@ -125,14 +132,14 @@ def test_name_words():
 
 
 def test_cleaning(spark):
-    cells = ["$1,200.50", "1200", "$1.2K", "1,200 USD", "unknown", "12%", "-", "3m", "€ 5", "1e3", "1d", ".5", "2.5 B", "-4k", "Infinity", " 7 "]
-    want = [1200.5, 1200, 1200, None, None, 12, None, 3e6, 5, 1000, None, 0.5, 2.5e9, -4000, None, 7]
+    cells = ["3m", "€ 5", "£17,040.25", "6.5K", "940 CHF", "none yet", "-", "31%", "88", "1e3", "1d", ".5", "2.5 B", "-4k", "Infinity", " 7 "]
+    want = [3e6, 5, 17040.25, 6500, None, None, None, 31, 88, 1000, None, 0.5, 2.5e9, -4000, None, 7]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, amount string")
     got = df.orderBy("i").select(clean.number_of("amount", df.schema["amount"].dataType).alias("x")).collect()
     assert [r.x for r in got] == pytest.approx(want)
     sized = df.withColumnRenamed("amount", "App Size")
     plain = sized.orderBy("i").select(clean.number_of("App Size", df.schema["amount"].dataType).alias("x")).collect()
-    assert plain[2].x is None and plain[7].x is None and plain[5].x == 12
+    assert plain[0].x is None and plain[3].x is None and plain[7].x == 31
 
 
 def test_dates_and_periods(spark):
@@ -152,22 +159,23 @@ def test_dates_and_periods(spark):
 
 
 def test_overrides(spark, prof):
-    p = prof(fixtures.TOURS)
+    p = prof(fixtures.HARBOUR)
     wanted = overrides.merge_overrides(
-        {"Qty": {"type": "identifier"}, "Item": {"type": "numeric_measure"}},
-        {"Qty": {"type": "numeric_measure", "agg_kind": "average"}, "Total": {"type": "categorical"},
-         "Notes": {"type": "date"}, "Price": {"type": "nonsense"}, "Nope": {"type": "date"},
-         "Date": {"type": "free_text"}},
+        {"crates": {"type": "identifier"}, "pilot": {"type": "numeric_measure"}},
+        {"crates": {"type": "numeric_measure", "agg_kind": "average"}, "draught": {"type": "categorical"},
+         "remark": {"type": "date"}, "dues total": {"type": "nonsense"}, "keel": {"type": "date"},
+         "arrival": {"type": "free_text"}},
     )
     final = overrides.apply_overrides(p, wanted)
-    assert final.columns["Qty"]["agg_kind"] == "average" and final.columns["Qty"]["agg_kind_confidence"] == 1.0
-    assert final.columns["Item"]["type"] == "categorical" and "Item" in final.columns["Item"]["correction_note"]
-    assert final.columns["Notes"]["type"] == "categorical" and final.columns["Notes"]["correction_note"]
-    assert final.columns["Total"]["top_values"][0] == {"value": "19.99", "count": 2}
-    assert final.columns["Price"] == p.columns["Price"] and final.columns["Date"]["type"] == "free_text"
-    assert "Nope" not in final.columns
-    reviewed = overrides.apply_review(p, {"Qty": {"agg_kind": "average"}, "Price": {"agg_kind": "median"}})
-    assert (reviewed.columns["Qty"]["agg_kind"], reviewed.columns["Price"]["agg_kind"]) == ("average", "sum")
+    assert final.columns["crates"]["agg_kind"] == "average" and final.columns["crates"]["agg_kind_confidence"] == 1.0
+    assert final.columns["pilot"]["type"] == "categorical" and "pilot" in final.columns["pilot"]["correction_note"]
+    assert final.columns["remark"]["type"] == "categorical" and final.columns["remark"]["correction_note"]
+    counts = Counter(str(v["draught"]) for v in fixtures.VISITS)
+    assert final.columns["draught"]["top_values"] == [{"value": v, "count": n} for v, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    assert final.columns["dues total"] == p.columns["dues total"] and final.columns["arrival"]["type"] == "free_text"
+    assert "keel" not in final.columns
+    reviewed = overrides.apply_review(p, {"crates": {"agg_kind": "average"}, "draught": {"agg_kind": "median"}})
+    assert (reviewed.columns["crates"]["agg_kind"], reviewed.columns["draught"]["agg_kind"]) == ("average", "sum")
 
 
 def test_dates_padded_and_long(spark):
