@@ -16,7 +16,7 @@ from gridscope.operators.keys import measures_long
 from gridscope.operators.profile import (
     column_samples, distinct_counts, first_pass, first_rows, least_confident_first, profile,
 )
-from gridscope.plans import dashboard, kpi, spec
+from gridscope.plans import cube, dashboard, kpi, spec
 from gridscope.session import scratch_path
 from gridscope.sources import delimited, eventlog, records
 from gridscope.streaming import usage
@@ -500,6 +500,15 @@ def filtered_breakdown(spark, folder):
     return charts.breakdown(df, "o_orderpriority", "o_totalprice", "average")
 
 
+@query
+def dashboard_filtered(spark, folder):
+    """Every chart of the orders under a range of days and a priority; one measure is averaged."""
+    whole = dashboard.analyze(table(spark, folder, "orders"), overrides={"o_custkey": {"type": "numeric_measure", "agg_kind": "average"}})
+    found = cube.filtered_charts(cube.filter_cube(whole), "1995-03-01", "1997-08-31", "o_orderpriority", "1-URGENT")
+    label = F.when(F.col("type") == "histogram", "").otherwise(F.col("label"))
+    return found.withColumn("label", label)
+
+
 # --- exploration and samples ----------------------------------------------------------
 
 @query

@@ -147,8 +147,7 @@ def histograms(
     range fall into the outer bins, and a measure of one single value has one bin. A
     ``spread`` known from profiling saves computing the quartiles again.
     """
-    rows = measures_long(df, {m: _number(df, m) for m in measures})
-    found = spread or robust.measured_spread(rows)
+    found = spread or robust.measured_spread(measures_long(df, {m: _number(df, m) for m in measures}))
     low, high = robust.trimmed_range()
     ranges = found.frame.select(
         "measure", F.col("n").alias("total"), "v_min", "v_max", low.alias("lo"), high.alias("hi"),
@@ -157,9 +156,9 @@ def histograms(
     single = F.col("v_min") == F.col("v_max")
     place = F.greatest(F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0))
     counts = (
-        attach(rows, ranges, ["measure"], found.groups)
+        attach(found.counted, ranges, ["measure"], found.groups)
         .groupBy("measure", F.when(single, 0).otherwise(place).cast("int").alias("bin"))
-        .agg(F.count("*").alias("count"))
+        .agg(F.sum("m").alias("count"))
     )
     write = BIN_STYLES[style]
     edge_low, edge_high = F.col("lo") + F.col("bin") * width, F.col("lo") + (F.col("bin") + 1) * width

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridscope.functions.clean import kind_of, quoted, value_of
 
@@ -39,18 +39,24 @@ def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 def attach(rows: DataFrame, facts: DataFrame, by: Sequence[str], n_facts: int) -> DataFrame:
     """Join per-group ``facts`` to ``rows`` on ``by``.
 
-    ``n_facts`` is the counted number of fact rows. A short fact table is broadcast. A
-    long one is repeated over :data:`SALTS` salts while each row takes one salt from its
-    place in its task, so the rows of one hot group meet their facts in many tasks, also if
-    they are all alike.
+    ``n_facts`` is the counted number of fact rows. A short fact table is broadcast: its keys
+    travel as digests where they are long, so that its size is bounded in bytes too. A long
+    one is repeated over :data:`SALTS` salts while each row takes one salt from its place in
+    its task, so the rows of one hot group meet their facts in many tasks, also if they are
+    all alike.
     """
+    texts = [k for k in by if facts.schema[k].dataType == T.StringType()]
+    narrow = {k: f"_narrow_{i}" for i, k in enumerate(texts)}
+    rows = rows.withColumns({short: narrow_text(F.col(quoted(k))) for k, short in narrow.items()}) if narrow else rows
+    facts = facts.withColumns({short: narrow_text(F.col(quoted(k))) for k, short in narrow.items()}).drop(*narrow) if narrow else facts
+    keys = [narrow.get(k, k) for k in by]
     if n_facts <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(facts), list(by))
+        return rows.join(F.broadcast(facts), keys).drop(*narrow.values())
     salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        .join(salted, [*by, "_salt"])
-        .drop("_salt")
+        .join(salted, [*keys, "_salt"])
+        .drop("_salt", *narrow.values())
     )
 
 

@@ -7,12 +7,13 @@ a handful of aggregates over pruned scans, whatever the number of columns:
 2. date parse counts of the text columns that are not numbers;
 3. distinct counts, per family of types, as a two-level aggregate on ``(column, value)``;
 4. most frequent values of the low-cardinality text columns;
-5. quartiles, then trimmed means and outlier counts of the measures.
+5. counted values of the measures, and from these quartiles, trimmed means and outlier counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -28,6 +29,8 @@ GATE = 0.8  # share of values that must parse
 MAX_CATEGORIES = 50
 MAX_CATEGORY_RATIO = 0.5
 TOP_VALUES = 10
+# Number types whose values a double holds exactly.
+COUNTED_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 BATCH = 100  # columns per aggregate, to keep generated code compilable
 # Word pairs that make a text column boolean.
 BOOLEAN_PAIRS = [{"yes", "no"}, {"true", "false"}, {"y", "n"}, {"1", "0"}]
@@ -80,7 +83,13 @@ class Profile:
 
     def spreads(self, measures: Iterable[str]) -> robust.Quantiles:
         """Counts, extremes and quartiles of measures, as found while profiling."""
-        return robust.known_spread(self.df.sparkSession, {m: self.columns[m]["spread"] for m in measures})
+        measures = list(measures)
+        told: dict[int, tuple[DataFrame, list[str]]] = {}  # an override has its measure counted anew
+        for m in measures:
+            table = self.columns[m]["counted"]
+            told.setdefault(id(table), (table, []))[1].append(m)
+        counted = reduce(DataFrame.unionByName, [t.where(F.col("measure").isin(held)) for t, held in told.values()])
+        return robust.known_spread(self.df.sparkSession, {m: self.columns[m]["spread"] for m in measures}, counted)
 
     def to_df(self, spark: SparkSession | None = None) -> DataFrame:
         """One row per column."""
@@ -100,13 +109,7 @@ def profile(df: DataFrame, distinct: str = "exact") -> Profile:
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     readable = [c for c in df.columns if kind_of(types[c]) != "other"]
-    if distinct == "estimate":
-        basics = first_pass(df, df.columns)
-        distincts = estimated_distincts(df, readable, basics)
-    else:
-        basics, distincts = run_together(
-            df.sparkSession, lambda: first_pass(df, df.columns), lambda: distinct_counts(df, readable)
-        )
+    basics = first_pass(df, df.columns)
     n_rows = basics.pop("")["n_rows"]
     filled = [c for c in readable if basics[c]["n"] > 0]
     numeric = [
@@ -115,11 +118,21 @@ def profile(df: DataFrame, distinct: str = "exact") -> Profile:
     ]
     measures = [c for c in numeric if not names.names_identifier(c)]
     others = [c for c in filled if c not in set(numeric)]
-    dates, stats = run_together(
+    # the counted values of such a measure also tell how many there are
+    told = [c for c in measures if isinstance(types[c], COUNTED_TYPES)] if distinct != "estimate" else []
+
+    def count_distinct(wanted: list[str]) -> dict[str, int]:
+        return estimated_distincts(df, wanted, basics) if distinct == "estimate" else distinct_counts(df, wanted)
+
+    dates, stats, distincts = run_together(
         df.sparkSession,
         lambda: date_pass(df, [c for c in others if kind_of(types[c]) in ("text", "date")]),
         lambda: measure_stats(df, measures, basics),
+        lambda: count_distinct([c for c in readable if c not in told]),
     )
+    distincts.update({c: stats[c]["n_values"] for c in told})
+    # infinite values are no measures, but values they are
+    distincts.update(count_distinct([c for c in told if stats[c]["spread"]["n"] != basics[c]["n"]]))
 
     columns: dict[str, dict[str, Any]] = {}
     open_text = []
@@ -370,7 +383,8 @@ def measure_stats(
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = measures_long(df, {c: number_of(c, types[c]) for c in columns})
     known = (len(columns), max(basics[c]["n_num"] for c in columns))
-    found = robust.trimmed_stats(rows, ["measure"], known).withColumn("anchor", robust.zero_anchor())
+    spread = robust.spread(rows, ["measure"], known)
+    found = robust.stats_of(spread, ["measure"]).withColumn("anchor", robust.zero_anchor())
     out = {}
     for r in found.collect():
         c = r["measure"]
@@ -382,6 +396,8 @@ def measure_stats(
             "min": round(basics[c]["min"], 2),
             "max": round(basics[c]["max"], 2),
             "spread": {k: r[k] for k in ("n", "v_min", "v_max", "q1", "q2", "q3")},
+            "counted": spread.counted,
+            "n_values": r["n_values"],
         }
     return out
 

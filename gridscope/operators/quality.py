@@ -113,14 +113,13 @@ def outlier_report(
     df: DataFrame, columns: list[str], spread: Quantiles | None = None
 ) -> DataFrame:
     """``measure, n_outliers, pct, lower, upper`` beyond 1.5 IQR, for measures that have some."""
-    rows = _measure_rows(df, columns)
-    found = spread or robust.measured_spread(rows)
+    found = spread or robust.measured_spread(_measure_rows(df, columns))
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
     return (
-        attach(rows, usable, ["measure"], found.groups)
+        attach(found.counted, usable, ["measure"], found.groups)
         .groupBy("measure")
         .agg(
-            F.count_if(robust.outside(robust.FLAG)).alias("n_outliers"),
+            F.coalesce(F.sum(F.when(robust.outside(robust.FLAG), F.col("m"))), F.lit(0)).alias("n_outliers"),
             F.any_value("n").alias("n"),
             F.any_value(robust.fence("low", robust.FLAG)).alias("lo"),
             F.any_value(robust.fence("high", robust.FLAG)).alias("hi"),
@@ -139,13 +138,13 @@ def outlier_examples(
     spread: Quantiles | None = None,
 ) -> DataFrame:
     """``measure, rank, value``: the ``k`` outliers farthest from the median, ties by value."""
-    rows = _measure_rows(df, columns)
-    found = spread or robust.measured_spread(rows)
+    found = spread or robust.measured_spread(_measure_rows(df, columns))
     usable = found.frame.where((F.col("n") >= MIN_VALUES) & (F.col("q3") != F.col("q1")))
-    far = attach(rows, usable, ["measure"], found.groups).where(robust.outside(robust.FLAG))
+    far = attach(found.counted, usable, ["measure"], found.groups).where(robust.outside(robust.FLAG))
     order = Window.partitionBy("measure").orderBy(F.desc(F.abs(F.col("value") - F.col("q2"))), F.asc("value"))
+    each = F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(k)).cast("int")))  # a value is shown as often as it occurs
     return (
-        far.withColumn("rank", F.row_number().over(order))
+        far.withColumn("_copy", each).withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("measure", "rank", F.round("value", 2).alias("value"))
     )

@@ -355,6 +355,30 @@ with r as (select o_orderpriority category, o_totalprice v from orders
   where cast(o_orderdate as date) between date '1996-01-01' and date '1996-12-31'), {spread('r', 'category')}
 select category, round(trimmed, 2) as value from s where n >= 5 order by trimmed desc, category limit 8"""
 
+FILTERED = "o_orderpriority = '1-URGENT' and cast(o_orderdate as date) between date '1995-03-01' and date '1997-08-31'"
+ORDER_MEASURES = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+def _filtered_groups(kind: str, column: str, label: str, measures: list[str], order: str, top: int) -> str:
+    rows = long("orders", measures, f"{label} as label", FILTERED)
+    value = "case when measure = 'o_custkey' then trimmed else total end"
+    return f"""select '{kind}' as type, measure, '{column}' as category_column, pos as position, label, round(value, 2) as value from (
+  with r as ({rows}), {spread('r', 'measure, label')},
+  g as (select measure, label, {value} as value from s where measure <> 'o_custkey' or n >= 5)
+  select *, row_number() over (partition by measure order by {order}) as pos from g) where pos <= {top}"""
+
+
+SQL["dashboard_filtered"] = f"""
+with c as (with r as ({long('orders', ORDER_MEASURES, '', FILTERED)}), {spread('r', 'measure')} select * from s),
+h as ({histogram(long('orders', ORDER_MEASURES, '', FILTERED))})
+select 'summary_card' as type, measure, '' as category_column, u.position, u.label, round(u.value, 2) as value from c, unnest([
+  {{'position': 1, 'label': 'sum', 'value': total}}, {{'position': 2, 'label': 'mean', 'value': case when measure = 'o_custkey' then trimmed else mean end}},
+  {{'position': 3, 'label': 'min', 'value': v_min}}, {{'position': 4, 'label': 'max', 'value': v_max}}]) as t(u)
+union all {_filtered_groups('line', '', "strftime(o_orderdate, '%Y-%m')", ORDER_MEASURES[:2], 'label', 10**6)}
+union all {_filtered_groups('bar', 'o_orderstatus', 'o_orderstatus', ORDER_MEASURES, 'value desc, label', 8)}
+union all {_filtered_groups('bar', 'o_orderpriority', 'o_orderpriority', ORDER_MEASURES, 'value desc, label', 8)}
+union all select 'histogram', measure, '', bin + 1, '', cast(n as double) from h"""
+
 # --- exploration and samples ----------------------------------------------------------
 SQL["corr_fit"] = """
 with f as (select count(*) n, corr(l_quantity, l_extendedprice) r, regr_slope(l_extendedprice, l_quantity) slope,

@@ -7,7 +7,7 @@ import fixtures
 from gridscope.errors import TableError
 from gridscope.operators import roles
 from gridscope.operators.profile import profile
-from gridscope.plans import dashboard, kpi, spec
+from gridscope.plans import cube, dashboard, kpi, spec
 from gridscope.sources import eventlog, records
 from gridscope.sources.delimited import read_table
 from gridscope.streaming import usage
@@ -236,3 +236,33 @@ def test_staged_table_is_the_same(spark, table):
     df = table(fixtures.HOLES)
     copy = records.staged(df)
     assert copy.columns == df.columns and copy.exceptAll(df).count() == 0 and copy.count() == 96
+
+
+def test_filters_answered_from_cells(table):
+    """Without a filter the cells give the whole charts; under one, those of the rows that pass."""
+    whole = dashboard.analyze(table(fixtures.HARBOUR), overrides={"draught": {"type": "numeric_measure", "agg_kind": "average"}})
+    made = cube.filter_cube(whole)
+    found = {(r["type"], r["measure"], r["category_column"], r["label"]): r["value"] for r in cube.filtered_charts(made).collect()}
+    for c in whole.charts:
+        if c["type"] == "bar":
+            assert [(b["category"], b["value"]) for b in c["bars"]] == sorted(
+                ((k[3], v) for k, v in found.items() if k[:3] == ("bar", c["measure_column"], c["category_column"])), key=lambda x: (-x[1], x[0])
+            )
+        if c["type"] == "histogram":
+            assert {b["bin"]: b["count"] for b in c["bins"]} == {k[3]: v for k, v in found.items() if k[:2] == ("histogram", c["measure_column"])}
+    assert made.cells.where("measure = ''").agg(F.sum("m")).first()[0] == 18
+    visits = [v for v in fixtures.VISITS if v["pilot"] == "p1" and "2024-02-08" <= str(v["arrival"]) <= "2024-03-10"]
+    some = cube.filtered_charts(made, "2024-02-08", "2024-03-10", "pilot", "p1").collect()
+    card = {r["label"]: r["value"] for r in some if (r["type"], r["measure"]) == ("summary_card", "dues total")}
+    dues = [v["dues total"] for v in visits]
+    assert card == {"sum": round(sum(dues), 2), "mean": round(sum(dues) / len(dues), 2), "min": min(dues), "max": max(dues)}
+    weeks = {}
+    for v in visits:
+        sunday = v["arrival"] - timedelta(days=(v["arrival"].weekday() + 1) % 7)
+        weeks[str(sunday)] = weeks.get(str(sunday), 0) + v["crates"]
+    assert {r["label"]: r["value"] for r in some if (r["type"], r["measure"]) == ("line", "crates")} == weeks
+    assert not [r for r in some if r["type"] == "bar" and r["measure"] == "draught"]  # too few values for an average
+    assert cube.filtered_charts(made, "2030-01-01").where("type <> 'histogram'").count() == 0
+    for wrong in ({"category_column": "keel", "category": "x"}, {"category_column": "remark", "category": "x"}):
+        with pytest.raises(TableError):
+            cube.filtered_charts(made, **wrong)

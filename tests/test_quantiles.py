@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscope.functions import clean
-from gridscope.operators import keys, robust
+from gridscope.operators import keys, quantiles, robust
 from gridscope.operators.quantiles import exact_quantiles
 
 PROBS = [0.25, 0.5, 0.75]
@@ -85,3 +85,21 @@ def test_long_texts_are_compared_by_digest(spark):
     keyed = df.select(keys.narrow_text(F.col("t")).alias("k"))
     assert keyed.distinct().count() == 3
     assert keyed.agg(F.max(F.length("k"))).first()[0] == 65
+
+
+def test_long_and_short_tables_agree(spark, monkeypatch):
+    """A counted table over the bound is dealt out in ranges; statistics are the same."""
+    df = spark.range(3000).selectExpr("concat('g', id % 7) g", "cast((id * 37) % 811 as double) value").where("value % 5 <> 0 or g <> 'g3'")
+    short = robust.trimmed_stats(df, ["g"]).orderBy("g").collect()
+    monkeypatch.setattr(quantiles, "SHORT", 10)
+    assert robust.trimmed_stats(df, ["g"]).orderBy("g").collect() == short
+
+
+def test_facts_meet_rows_by_long_keys(spark, monkeypatch):
+    """Keys longer than a digest, one of them on most rows, with and without broadcast."""
+    long = F.when(F.col("id") % 3 > 0, F.repeat(F.lit("hot "), 400)).otherwise(F.concat(F.repeat(F.lit("key "), 400), F.col("id") % 50))
+    df = spark.range(2000).select(long.alias("g"), F.col("id").cast("double").alias("value"))
+    few = robust.trimmed_stats(df, ["g"]).orderBy("g").collect()
+    assert len(few) == 51 and few[0]["g"].startswith("hot hot")
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", 5)
+    assert robust.trimmed_stats(df, ["g"]).orderBy("g").collect() == few
