@@ -20,10 +20,3 @@ def axis_number(value: Column) -> Column:
 def fixed_number(value: Column, digits: int = 1) -> Column:
     """Fixed decimals without separators."""
     return F.replace(F.format_number(F.round(value, digits), digits), F.lit(","), F.lit(""))
-
-
-def report_text(value: float) -> str:
-    """:func:`report_number` for one number already on the driver."""
-    if abs(value) >= 1000 or value == int(value):
-        return f"{value:,.0f}"
-    return f"{value:,.2f}"

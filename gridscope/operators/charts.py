@@ -36,7 +36,7 @@ def grouped(
 ) -> DataFrame:
     """``by..., value, n`` for rows ``(by..., value)`` without nulls. Values are unrounded."""
     if kind == "average":
-        stats = robust.trimmed_stats(rows, by).where(F.col("n") >= min_group)
+        stats = robust.trimmed_means(rows, by).where(F.col("n") >= min_group)
         return stats.select(*by, F.col("trimmed_mean").alias("value"), "n")
     return rows.groupBy(*by).agg(F.sum("value").alias("value"), F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridscope.functions.clean import kind_of, number_of, quoted, value_of
 from gridscope.operators import robust
 from gridscope.operators.keys import attach, measures_long, narrow_text, row_key
-from gridscope.operators.profile import Profile
+from gridscope.operators.profile import Profile, batches
 from gridscope.operators.quantiles import Quantiles
+from gridscope.session import run_together
 
 MIN_VALUES = 5
 EXAMPLES = 5
@@ -18,17 +20,18 @@ ENTITY_RATIO = 0.7
 
 
 def missing_values(df: DataFrame) -> DataFrame:
-    """``column, n_missing, pct`` for columns that miss something. One scan, no shuffle of rows."""
+    """``column, n_missing, pct`` for columns that miss something. No shuffle of rows; one scan per batch of columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    counts = df.agg(
-        F.count("*").alias("n_rows"),
-        *[F.count_if(value_of(c, types[c]).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)],
-    )
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(df.columns)
-    ])
+
+    def counted(columns: list[str]) -> DataFrame:
+        counts = df.agg(
+            F.count("*").alias("n_rows"), *[F.count_if(value_of(c, types[c]).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
+        )
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(columns)])
+        return counts.select("n_rows", F.inline(cells))
+
     return (
-        counts.select("n_rows", F.inline(cells))
+        reduce(DataFrame.unionByName, map(counted, batches(df.columns)))
         .where(F.col("n_missing") > 0)
         .select("column", "n_missing", F.round(F.col("n_missing") * 100 / F.col("n_rows"), 1).alias("pct"))
     )
@@ -159,33 +162,41 @@ def quality_report(df: DataFrame, prof: Profile) -> dict[str, Any]:
         if n_missing > 0:
             missing[c] = {"count": n_missing, "pct": round(n_missing / n_rows * 100, 1)}
     measures = prof.of_type("numeric_measure")
-    outliers: dict[str, Any] = {}
-    if measures:
-        for r in outlier_report(df, measures, spread=prof.spreads(measures)).collect():
-            outliers[r["measure"]] = {
-                "count": r["n_outliers"], "pct": r["pct"],
-                "bounds": {"lower": r["lower"], "upper": r["upper"]}, "examples": [],
-            }
-        if outliers:
-            examples = outlier_examples(df, list(outliers), spread=prof.spreads(outliers))
+
+    def outliers_of() -> dict[str, Any]:
+        if not measures:
+            return {}
+        report = outlier_report(df, measures, spread=prof.spreads(measures)).collect()
+        found = {r["measure"]: {
+            "count": r["n_outliers"], "pct": r["pct"], "bounds": {"lower": r["lower"], "upper": r["upper"]}, "examples": [],
+        } for r in report}
+        if found:
+            examples = outlier_examples(df, list(found), spread=prof.spreads(found))
             for r in examples.orderBy("measure", "rank").collect():
-                outliers[r["measure"]]["examples"].append(r["value"])
-    entities: dict[str, Any] = {}
-    column = entity_column(prof)
-    # all values unique: nothing can repeat, no need to look
-    all_unique = column and prof.exact and prof.columns[column]["cardinality"] == prof.counts[column]
-    if column and not all_unique:
+                found[r["measure"]]["examples"].append(r["value"])
+        return found
+
+    def entities_of() -> dict[str, Any]:
+        column = entity_column(prof)
+        # all values unique: nothing can repeat, no need to look
+        if not column or (prof.exact and prof.columns[column]["cardinality"] == prof.counts[column]):
+            return {}
         summary = entity_summary(df, column).first()
-        if summary["n_repeated_values"]:
-            entities[column] = {
-                "n_repeated_values": summary["n_repeated_values"],
-                "n_affected_rows": summary["n_affected_rows"],
-                "examples": [{"value": r["value"], "count": r["n"]} for r in entity_examples(df, column).collect()],
-            }
+        if not summary["n_repeated_values"]:
+            return {}
+        return {column: {
+            "n_repeated_values": summary["n_repeated_values"],
+            "n_affected_rows": summary["n_affected_rows"],
+            "examples": [{"value": r["value"], "count": r["n"]} for r in entity_examples(df, column).collect()],
+        }}
+
+    outliers, entities, duplicates = run_together(
+        df.sparkSession, outliers_of, entities_of, lambda: duplicate_rows(df).first()["duplicate_rows"]
+    )
     return {
         "n_rows": n_rows,
         "missing_values": missing,
-        "duplicate_rows": duplicate_rows(df).first()["duplicate_rows"],
+        "duplicate_rows": duplicates,
         "outliers": outliers,
         "duplicate_entities": entities,
     }
