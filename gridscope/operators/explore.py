@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridscope.functions.clean import number_of, quoted
+from gridscope.operators.ranks import every_kth
 from gridscope.operators.statements import correlation_statement
-from gridscope.session import cut_lineage
 
 SCATTER_POINTS = 1000
 SEED = 42
@@ -50,39 +50,15 @@ def correlation_fit(df: DataFrame, x: str, y: str, x_label: str | None = None, y
     )
 
 
-def row_numbers(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """``df`` in the order of ``order_by`` with a gap-free ``row`` from 0.
-
-    Rows are range-partitioned and sorted; each partition numbers its own rows and then
-    adds the sizes of the partitions before it. Only those sizes are ever brought together.
-    """
-    placed = cut_lineage(
-        df.orderBy(*[quoted(c) for c in order_by])
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("m"), F.min("_id").alias("_first"))
-    # one row per partition of the sort
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", "_first", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_start"))
-    return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn("row", F.col("_id") - F.col("_first") + F.col("_start"))
-        .drop("_part", "_id", "_first", "_start")
-    )
-
-
 def scatter_points(
     df: DataFrame, x: str, y: str, order_by: list[str], points: int = SCATTER_POINTS
 ) -> DataFrame:
-    """``row, x, y``: every ``ceil(n / points)``-th complete pair in the given order."""
+    """``row, x, y``: every ``ceil(n / points)``-th complete pair in the given order, ties by ``x`` and ``y``."""
     keys = [F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(order_by)]
     pairs = df.select(
         *keys, number_of(x, df.schema[x].dataType).alias("x"), number_of(y, df.schema[y].dataType).alias("y")
     ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    step = max(1, math.ceil(pairs.count() / points))
-    numbered = row_numbers(pairs, [f"_k{i}" for i in range(len(order_by))])
-    return numbered.where(F.col("row") % step == 0).select("row", "x", "y")
+    return every_kth(pairs, [f"_k{i}" for i in range(len(order_by))], points).select("row", "x", "y")
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
