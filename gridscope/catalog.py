@@ -849,7 +849,14 @@ def usage_daily(spark, folder):
 
 @query
 def usage_daily_stream(spark, folder):
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/events*.parquet")
-    found = usage.run_daily_activity(stream, F.col("ts"), ["event_type"])
+    """Events arrive in two deliveries; the second reaches back to days already counted and is read after a restart."""
+    e = table(spark, folder, "events")
+    arrived, counts, checkpoint = (scratch_path(spark, f"activity-{p}") for p in ("source", "counts", "checkpoint"))
+    for delivery in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        e.where(delivery).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(arrived)
+        usage.start_daily_activity(
+            usage.daily_activity_stream(stream, F.col("ts"), ["event_type"]), counts, checkpoint
+        ).awaitTermination()
+    found = usage.read_daily_activity(spark, counts, ["event_type"])
     return found.select(F.col("day").cast("string").alias("day"), "event_type", "n")

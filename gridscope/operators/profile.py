@@ -13,7 +13,7 @@ a handful of aggregates over pruned scans, whatever the number of columns:
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -32,6 +32,8 @@ TOP_VALUES = 10
 # Number types whose values a double holds exactly.
 COUNTED_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 BATCH = 100  # columns per aggregate, to keep generated code compilable
+HEAD_ROWS = 20  # first rows looked at for each sample asked for
+SAMPLE_JOBS = 16  # columns looked up together
 # Word pairs that make a text column boolean.
 BOOLEAN_PAIRS = [{"yes", "no"}, {"true", "false"}, {"y", "n"}, {"1", "0"}]
 COLUMN_TYPES = (
@@ -402,28 +404,36 @@ def measure_stats(
     return out
 
 
+def _as_text(df: DataFrame, c: str) -> Column:
+    """A cell as text; null where it holds no value."""
+    dtype = df.schema[c].dataType
+    if kind_of(dtype) != "other":
+        return value_of(c, dtype).cast("string")
+    return F.when(F.col(quoted(c)).isNotNull(), F.to_json(F.struct(quoted(c))))
+
+
 def column_samples(df: DataFrame, n: int = 5) -> DataFrame:
     """``column, samples``: the first ``n`` non-null values of each column as text.
 
-    Each column reads partitions one after the other only until it has its values.
+    The first rows serve all columns in one job. Only a column with too few values among them
+    is looked up alone, reading partitions one after the other until it has its values.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
+    texts = [_as_text(df, c) for c in df.columns]
+    head = df.select(*[t.alias(f"v{i}") for i, t in enumerate(texts)]).take(HEAD_ROWS * n)
+    found = [[r[i] for r in head if r[i] is not None][:n] for i in range(len(texts))]
+    # a head shorter than asked for is the whole table
+    short = [i for i, values in enumerate(found) if len(values) < n and len(head) == HEAD_ROWS * n]
 
-    def first_values(c: str) -> list[str]:
-        other = kind_of(types[c]) == "other"
-        text = F.to_json(F.struct(quoted(c))) if other else value_of(c, types[c]).cast("string")
-        present = F.col(quoted(c)).isNotNull() if other else text.isNotNull()
-        return [r.v for r in df.where(present).select(text.alias("v")).take(n)]
+    def first_values(i: int) -> list[str]:
+        return [r.v for r in df.select(texts[i].alias("v")).where(F.col("v").isNotNull()).take(n)]
 
-    rows = [(c, first_values(c)) for c in df.columns]
-    return df.sparkSession.createDataFrame(rows, "column string, samples array<string>")
+    for start in range(0, len(short), SAMPLE_JOBS):
+        some = short[start:start + SAMPLE_JOBS]
+        for i, values in zip(some, run_together(df.sparkSession, *[partial(first_values, i) for i in some])):
+            found[i] = values
+    return df.sparkSession.createDataFrame(list(zip(df.columns, found)), "column string, samples array<string>")
 
 
 def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` rows with every cell as text."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    texts = [
-        (F.to_json(F.struct(quoted(c))) if kind_of(types[c]) == "other" else value_of(c, types[c]).cast("string")).alias(c)
-        for c in df.columns
-    ]
-    return df.limit(n).select(*texts)
+    return df.limit(n).select(*[_as_text(df, c).alias(c) for c in df.columns])

@@ -232,6 +232,23 @@ def test_activity_stream_continues_where_it_stopped(spark, tmp_path):
     assert run()[0] == ("2023-11-30", 4)
 
 
+def test_closed_days_ignore_late_events_after_a_restart(spark, tmp_path):
+    source, table, check = (str(tmp_path / p) for p in ("in", "out", "check"))
+    def deliver(*days):
+        frame = spark.createDataFrame([(d,) for d in days], "d string").select(F.to_timestamp("d").alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(source)
+    def run():
+        stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        counts = usage.daily_activity_stream(stream, F.col("ts"), lateness="1 day")
+        usage.start_daily_activity(counts, table, check).awaitTermination()
+        return sorted((str(r.day), r.n) for r in usage.read_daily_activity(spark, table).collect())
+    deliver("2024-03-01 08:00:00", "2024-03-01 09:00:00")
+    deliver("2024-03-05 10:00:00")
+    assert run() == [("2024-03-01", 2), ("2024-03-05", 1)]
+    deliver("2024-03-01 10:00:00", "2024-03-04 12:00:00", "2024-03-05 11:00:00")
+    assert run() == [("2024-03-01", 2), ("2024-03-04", 1), ("2024-03-05", 2)]
+
+
 def test_staged_table_is_the_same(spark, table):
     df = table(fixtures.HOLES)
     copy = records.staged(df)

@@ -123,6 +123,22 @@ def test_tiers_and_samples(spark, prof):
     assert samples["drift rate"] == [str(3 * k + 1) for k in range(5)]
 
 
+def test_samples_of_many_columns_take_one_job(spark):
+    wide = spark.range(400, numPartitions=4).select(
+        "id", *[(F.col("id") + i).alias(f"c{i}") for i in range(40)],
+        F.when(F.col("id") > 350, F.col("id")).alias("late"), F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") == 3, F.array("id")).alias("list"),
+    )
+    spark.sparkContext.setJobGroup("samples of values", "")
+    got = {r["column"]: r["samples"] for r in column_samples(wide.drop("late", "none", "list")).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("samples of values")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got["c7"] == [str(k + 7) for k in range(5)] and len(got) == 41
+    assert len(jobs) <= 2  # one for the samples, one that collects the answer
+    got = {r["column"]: r["samples"] for r in column_samples(wide).collect()}
+    assert got["late"] == [str(k) for k in range(351, 356)] and got["none"] == [] and got["list"] == ['{"list":[3]}']
+
+
 def test_name_words():
     assert names.names_identifier("stop_id") and names.names_identifier("Retailer ID") and not names.names_identifier("width")
     assert names.agg_kind_of("Operating Profit")[0] == "sum" and names.agg_kind_of("Corporate units")[0] == "sum"
