@@ -23,7 +23,9 @@ from gridscope.llm.common import column_of, slices
 GOOD, BAD, OPEN = 1, -1, 0
 
 #: Elements of HTML by their role.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "textarea", "iframe", "xmp", "noembed", "noframes")  # text up to the end tag, or the page's end
+#: Left out with what stands in them; one that is never closed hides nothing. Formulas keep their text, not its source notation.
+SHUT = ("noscript", "template", "svg", "canvas", "annotation", "annotation-xml")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table"
@@ -90,6 +92,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I,
 )
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SHUT}
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
@@ -167,7 +170,11 @@ def blocks_of(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
                 return
 
     at = 0
+    unclosed: set[str] = set()  # looked for once, however often they are opened
     for token in _TOKEN.finditer(page):
+        if token.start() < at:
+            at = max(at, token.end())
+            continue
         if token.start() > at:
             parts.append((page[at : token.start()], links > 0))
         at = token.end()
@@ -175,6 +182,11 @@ def blocks_of(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
         if tag is None:
             continue
         tag, rest = tag.lower(), token["rest"]
+        if tag in _ENDS and not token["end"] and not rest.endswith("/") and tag not in unclosed:
+            if end := _ENDS[tag].search(page, at):
+                at = end.end()
+                continue
+            unclosed.add(tag)
         if tag == "a":
             links = max(0, links - 1) if token["end"] else 1
         if tag in BLOCKS:
@@ -324,7 +336,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     """``page_id, url, text, n_chars`` of every page, from its whole markup.
 
     A null or empty page gives an empty text. Repeated rows are kept; other columns are not
-    read. Very long pages are handed over in small batches.
+    read. Very long pages are handed over in small batches. A script, style or frame that is
+    never closed reaches to the page's end, as in a browser; an unclosed element of
+    :data:`SHUT` hides nothing. Formulas and objects keep their text.
     """
     chosen = pages.select(page_id, url, page)
 

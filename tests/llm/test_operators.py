@@ -449,6 +449,22 @@ def test_html_scripts_and_short_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("We set <math><mi>x</mi> = <mn>2</mn><annotation encoding='t'>x=2</annotation></math> in it.", "We set x = 2 in it."),
+    ("Before <object data='a.pdf'>the report of the year</object> and after.", "Before the report of the year and after."),
+    (f"Before <object data='a.pdf'>the report<p>{PROSE}", f"Before the report\n\n{PROSE}"),
+    (f"Seen <svg><title>icon</title><path d='M1'/></svg>here <noscript><img src='a'>Turn scripts on.</noscript>as well.<p>{PROSE}", f"Seen here as well.\n\n{PROSE}"),
+    (f"One <svg>icon<p>{PROSE}<noscript>", f"One icon\n\n{PROSE}"),
+    (f"One <svg/>two<p>{PROSE}<script>var a = '<p>'", f"One two\n\n{PROSE}"),
+])
+def test_html_embedded_and_unclosed(page, text):
+    assert html_extract.main_text(f"<article><p>{page}") == text
+
+
+def test_html_many_unclosed_elements():
+    assert html_extract.main_text("<article><p>" + "<svg>a <noscript>b " * 30_000).split() == ["a", "b"] * 30_000
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     import html
