@@ -97,38 +97,74 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         })
 
 
-def cluster(vectors: np.ndarray, clusters: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means with farthest-first seeds: centroids of length one and each row's centroid."""
-    seeds, nearest = [0], vectors @ vectors[0]
+def _spread_seeds(vectors: np.ndarray, clusters: int, draw: np.random.Generator) -> list[int]:
+    """Rows drawn one after another with the chance of their squared distance to those drawn before."""
+    seeds = [int(draw.integers(len(vectors)))]
+    nearest = vectors @ vectors[seeds[0]]
     while len(seeds) < min(clusters, len(vectors)):
-        seeds.append(int(np.argmin(nearest)))
+        far = np.maximum(0.0, 1.0 - nearest).astype(np.float64)  # half the squared distance of vectors of length one
+        if far.sum() <= 1e-6:
+            break  # all rows are like a seed
+        seeds.append(int(draw.choice(len(vectors), p=far / far.sum())))
         nearest = np.maximum(nearest, vectors @ vectors[seeds[-1]])
-    centers = vectors[seeds].copy()
-    for _ in range(rounds):
-        member = np.argmax(vectors @ centers.T, axis=1)
-        for k in range(len(centers)):
-            total = vectors[member == k].sum(axis=0)
-            length = np.linalg.norm(total)
-            if length:
-                centers[k] = total / length
-    return centers, np.argmax(vectors @ centers.T, axis=1)
+    return seeds
+
+
+def cluster(
+    vectors: np.ndarray, clusters: int, rounds: int = 10, least_share: float = 0.05, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: centroids of length one and each row's centroid.
+
+    Seeds are drawn by distance. A centroid that ends with less than ``least_share`` of the
+    rows stands for outliers: it starts again at a row drawn from the largest cluster, and
+    after as many new starts as there are clusters it is dropped.
+    """
+    draw = np.random.default_rng(seed)
+    centers = vectors[_spread_seeds(vectors, clusters, draw)].copy()
+    least = least_share * len(vectors)
+
+    def settle() -> np.ndarray:
+        for _ in range(rounds):
+            member = np.argmax(vectors @ centers.T, axis=1)
+            for k in range(len(centers)):
+                total = vectors[member == k].sum(axis=0)
+                length = np.linalg.norm(total)
+                if length:
+                    centers[k] = total / length
+        return np.argmax(vectors @ centers.T, axis=1)
+
+    member = settle()
+    for _ in range(clusters):
+        sizes = np.bincount(member, minlength=len(centers))
+        small = np.flatnonzero(sizes < least)
+        if not len(small):
+            break
+        crowd = np.flatnonzero(member == np.argmax(sizes))
+        centers[small] = vectors[draw.choice(crowd, size=len(small))]
+        member = settle()
+    while len(centers) > 1 and (sizes := np.bincount(member, minlength=len(centers))).min() < least:
+        centers = np.delete(centers, np.argmin(sizes), axis=0)
+        member = settle()
+    return centers, member
 
 
 def fit(
     docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", order_by: str = "doc_id",
-    clusters: int = 4, sample_per_language: int = 400, slack: float = 0.25, quantile: float = 0.01,
+    clusters: int = 4, sample_per_language: int = 400, slack: float = 0.25, quantile: float = 0.01, max_languages: int = 1000,
 ) -> LanguageModel:
     """Learn centroids from the rows where ``learn`` holds and text and language are not null.
 
     Document frequencies cover all of these rows. Clustering uses a sample, drawn by a hash
-    of ``order_by``, whose expected size is ``sample_per_language`` per language and whose
-    hard bound is twice that times the number of languages. A centroid accepts texts whose
-    cosine is at least ``slack`` times the ``quantile`` of its own members' cosines.
+    of ``order_by`` and the text, whose expected size is ``sample_per_language`` per language
+    and whose hard bound is twice that times the number of languages. Null and repeated keys
+    are thus told apart by their texts; equal rows are drawn together. A centroid accepts
+    texts whose cosine is at least ``slack`` times the ``quantile`` of its own members'
+    cosines. The model grows with the languages; more than ``max_languages`` are an error.
     """
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"),
-        F.pmod(F.xxhash64(F.col(order_by), F.lit("language sample")), F.lit(1 << 30)).alias("draw"),
+        F.pmod(F.xxhash64(F.col(order_by), F.col(text), F.lit("language sample")), F.lit(1 << 30)).alias("draw"),
     )
     frequencies = (
         rows.select("text").mapInArrow(_document_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
@@ -140,7 +176,9 @@ def fit(
         else:
             idf[bucket] = df
     idf = np.log((1.0 + total) / (1.0 + idf)) + 1.0
-    per_language = rows.groupBy("lang").count().collect()
+    per_language = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(per_language) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not per_language:
         return LanguageModel([], np.zeros(0, int), np.zeros(0), np.zeros((BUCKETS, 0), np.float32), idf)
     shares = spark.createDataFrame(

@@ -317,6 +317,30 @@ def test_language_id_held_out(documents, spark):
     assert all(r["lang_rejected"] for r in language_id.identify(odd, model).collect())
 
 
+def test_language_id_clusters_hold_a_share():
+    """Three groups and some outliers: no centroid stands for an outlier, every row has its nearest centroid."""
+    draw = np.random.default_rng(1)
+    middle = np.eye(40)[[0] * 60 + [1] * 50 + [2] * 40] * 3
+    rows = np.vstack([middle + draw.random((150, 40)) * 0.3, np.eye(40)[[30, 31]] * 5]).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    centers, member = language_id.cluster(rows, 4)
+    sizes = np.bincount(member, minlength=len(centers))
+    assert 3 <= len(centers) <= 4 and sizes.min() >= 0.05 * len(rows)
+    assert {len(set(member[a:b])) for a, b in ((110, 150),)} == {1}
+    nearest = [max(range(len(centers)), key=lambda k: sum(float(x) * float(y) for x, y in zip(row, centers[k]))) for row in rows]
+    assert nearest == member.tolist()
+    same, one = language_id.cluster(np.repeat(rows[:1], 9, axis=0), 4)
+    assert len(same) == 1 and set(one) == {0}
+
+
+def test_language_id_null_and_repeated_keys(documents):
+    rows = documents.limit(300).withColumn("doc_id", F.lit(None).cast("long"))
+    model = language_id.fit(rows, F.lit(True), sample_per_language=20)
+    assert model.languages == sorted(r[0] for r in rows.where("lang is not null and text is not null").select("lang").distinct().collect())
+    with pytest.raises(ValueError):
+        language_id.fit(documents, F.lit(True), max_languages=1)
+
+
 def test_language_id_hard_cases(hard, nothing, documents):
     model = language_id.fit(hard, F.lit(True))
     got = language_id.identify(hard.withColumn("score", F.lit("old")), model)
