@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,9 @@ from gridscope.session import scratch_path
 #: The white space that parts words, as bytes 0x20 and 0x09 to 0x0D.
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 
+#: What a worker keeps from one task to the next: one thing at most.
+_kept: dict[tuple, Any] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -44,7 +48,22 @@ def local_file(path: str) -> str:
     return SparkFiles.get(path[len("sent:"):]) if path.startswith("sent:") else path
 
 
-def column_of(batch: pa.RecordBatch, name: str) -> list:
+def kept(make: Callable[..., Any], *of: Any) -> Any:
+    """``make(*of)``, kept in this worker for later tasks, until another thing is kept or :func:`forget` is called."""
+    if (make, of) not in _kept:
+        forget()
+        _kept[make, of] = make(*of)
+    return _kept[make, of]
+
+
+def forget() -> None:
+    """Free what tasks of another kind have left in this worker, which Spark uses again for any task."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def column_of(batch: pa.RecordBatch | pa.Table, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from gridscope.llm.common import column_of, rows_with, slices, staged, text_or_empty
+from gridscope.llm.common import column_of, forget, rows_with, slices, staged, text_or_empty
 from gridscope.llm.components import components
 
 #: Bits of a shingle's hash that its rarity is counted by.
@@ -121,6 +121,7 @@ def shingled(
         })
 
     def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler, chunk, sets = Shingler(size), None, []
         for batch in slices(batches, "text"):
             for at, text in zip(column_of(batch, "chunk"), column_of(batch, "text"), strict=True):
@@ -147,31 +148,40 @@ def shingled(
     told = rows.select("chunk", "text").mapInArrow(count_keys, "part int, chunk long, keys binary, more binary")
     rarities = told.groupBy("part").applyInPandas(rate, "chunk long, part int, rarity binary")
 
-    def describe(group: pd.DataFrame, rated: pd.DataFrame) -> pd.DataFrame:
-        shingler = Shingler(size)
-        sets = [shingler.of(t) for t in group["text"]]
+    def describe(group: pa.Table, rated: pa.Table) -> pa.Table:
+        shingler, sets, shas = Shingler(size), [], []
+        for batch in group.to_batches():
+            for content in column_of(batch, "text"):
+                sets.append(shingler.of(content))
+                if with_sha:
+                    shas.append(hashlib.sha256((content or "").encode("utf-8")).hexdigest())
         keys = np.unique(_rarity_key(np.concatenate(sets))) if sets else np.zeros(0, np.uint64)
-        rarity = np.frombuffer(b"".join(rated.sort_values("part")["rarity"]), np.uint8)
+        rarity = np.frombuffer(b"".join(column_of(rated.sort_by("part"), "rarity")), np.uint8)
         if len(rarity) != len(keys):
             raise ValueError("the documents were read in another order the second time; hand in a written table")
-        out = []
-        for row, own, content, members in zip(group["row"], group["key"], group["text"], sets, strict=True):
+        prefixes, digests = [], []
+        for members in sets:
             rare = rarity[np.searchsorted(keys, _rarity_key(members))]
             n = len(members)
             length = n - -(-percent * n // 100) + 1 if n else 0
             order = np.lexsort((members, rare))[:length]
-            prefix = [
-                {"token": int(t), "pos": p, "rarity": int(r)}
-                for p, (t, r) in enumerate(zip(members[order].astype(np.int64), rare[order], strict=True)) if r
-            ]
-            digest = np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64)
-            sha = [hashlib.sha256((content or "").encode("utf-8")).hexdigest()] if with_sha else []
-            out.append((row, own, n, int(digest[0]), int(digest[1]), prefix, members.tobytes() if prefix else None, *sha))
-        return pd.DataFrame(out, columns=["row", "key", "n", "d1", "d2", "prefix", "members", *(["sha"] if with_sha else [])])
+            pos = np.flatnonzero(rare[order])
+            prefixes.append((members[order[pos]].astype(np.int64), pos.astype(np.int32), rare[order[pos]].astype(np.int32)))
+            digests.append(np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64))
+        token, pos, rare = (np.concatenate([p[k] for p in prefixes]) if prefixes else [] for k in range(3))
+        listed = [len(p[0]) for p in prefixes]
+        entry = pa.StructArray.from_arrays([pa.array(token, pa.int64()), pa.array(pos, pa.int32()), pa.array(rare, pa.int32())], ["token", "pos", "rarity"])
+        return pa.table({
+            "row": group.column("row"), "key": group.column("key"), "n": pa.array([len(m) for m in sets], pa.int64()),
+            **{f"d{k + 1}": pa.array([d[k] for d in digests], pa.int64()) for k in range(2)},
+            "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *listed]), pa.int32()), entry),
+            "members": pa.array([m.tobytes() if k else None for m, k in zip(sets, listed, strict=True)], pa.binary()),
+            **({"sha": pa.array(shas, pa.string())} if with_sha else {}),
+        })
 
     kind = rows.schema["key"].dataType.simpleString()
     return staged(
-        rows.groupBy("chunk").cogroup(rarities.groupBy("chunk")).applyInPandas(
+        rows.groupBy("chunk").cogroup(rarities.groupBy("chunk")).applyInArrow(
             describe, f"row long, key {kind}, n long, d1 long, d2 long, prefix array<struct<token:bigint,pos:int,rarity:int>>, members binary"
             + (", sha string" if with_sha else "")
         ),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from gridscope.llm.common import column_of, crc_share, slices
+from gridscope.llm.common import column_of, crc_share, forget, slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -69,6 +69,7 @@ def weights(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     seen, rows = np.zeros(BUCKETS, np.int64), 0
     for batch in slices(batches, "text"):
         for text in column_of(batch, "text"):
@@ -241,6 +242,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     frozen = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = pickle.loads(frozen.value)
         for batch in slices(batches, text, 4 << 20):
             lang, score, rejected = zip(*[predict(own, t) for t in column_of(batch, text)], strict=True)

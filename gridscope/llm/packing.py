@@ -11,7 +11,6 @@ packed once more together.
 
 from __future__ import annotations
 
-import functools
 import os
 import random
 import re
@@ -23,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridscope.llm.common import column_of, local_file, slices, staged
+from gridscope.llm.common import column_of, forget, kept, local_file, slices, staged
 
 #: The white space of Unicode, and letters of Latin scripts, as character classes.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,11 +101,6 @@ class ChunkIds:
         return [b"".join([self.added[p] if k % 2 else b"".join(map(ids, p)) for k, p in enumerate(cut)]) for cut in told]
 
 
-@functools.lru_cache(maxsize=1)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
 def pieces_of(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = True,
 ) -> DataFrame:
@@ -121,7 +115,7 @@ def pieces_of(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chunk_ids(local_file(tokenizer))
+        own = kept(ChunkIds, local_file(tokenizer))
         for batch in slices(batches, text, SLICE_BYTES):
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, data in enumerate(own.encode([t or "" for t in column_of(batch, text)])):
@@ -266,6 +260,7 @@ def solve(
         return group, [int(x) for x in group["length"]]
 
     def step(key, group: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        forget()
         group, sizes = ordered(group)
         draw = random.Random(f"{key[0]}/{key[1]}/{len(came)}")
         least = -(-sum(sizes) // capacity)
